@@ -26,9 +26,10 @@ from ..session import cut_lineage
 
 #: Vectors that the codebooks are fitted on; a bound.
 SAMPLE_ROWS = 20_000
-#: Entries a query sees at least, and the cells it visits at most.
-MIN_ENTRIES = 1_500
-MAX_CELLS = 400
+#: Entries a query sees at least in a collection of up to 100,000; in larger ones more, by the
+#: square root of the size, as neighbours spread over more cells. Cells it visits at most.
+MIN_ENTRIES = 4_000
+MAX_CELLS = 2_000
 #: Vectors of one partition of the index.
 PART_ROWS = 20_000
 
@@ -113,6 +114,7 @@ def _search(reps: DataFrame, width: int, k: int, floor: float, min_entries: int,
     if total < 2:
         return reps.sparkSession.createDataFrame([], schema)
     index = fit_index(reps, width, total)
+    min_entries = int(min_entries * max(1.0, math.sqrt(total / 100_000)))
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
