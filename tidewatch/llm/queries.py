@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import cooccurrence, encode, mixing, vectors
+from . import canonical, cooccurrence, encode, mixing, vectors
 
 
 def _vector_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,19 @@ def p6_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """record_kind, record_id and geoname_id (0 for none) of every record with a typed place."""
+    records = canonical.typed_places(load(spark, sf_dir, "geocode_inputs"), load(spark, sf_dir, "alerts"))
+    return canonical.map_records(records, load(spark, sf_dir, "places"))
+
+
+def p7_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Typed values that no entry of the list is meant by, with their number of records."""
+    records = canonical.typed_places(load(spark, sf_dir, "geocode_inputs"), load(spark, sf_dir, "alerts"))
+    mapped = canonical.map_records(records, load(spark, sf_dir, "places"))
+    return records.join(mapped.where("geoname_id = 0"), ["record_kind", "record_id"]).groupBy("value").agg(F.count_distinct("record_kind", "record_id").alias("n_records"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id and ids of every document."""
     return encode.encode_texts(load(spark, sf_dir, "documents"), "doc_id", "text")
@@ -71,6 +84,8 @@ QUERIES = {
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
     "p6_edges": p6_edges,
+    "p7_found": p7_found,
+    "p7_unmatched": p7_unmatched,
     "p8_ids": p8_ids,
     "p8_roundtrip": p8_roundtrip,
     "p9_mix": p9_mix,
