@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import canonical, cooccurrence, encode, mixing, vectors
+from . import canonical, cooccurrence, encode, mixing, variants, vectors
+
+
+def _name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entities = load(spark, sf_dir, "entities").where("kind is null or kind <> 'place'")
+    return variants.variant_sets(entities, "id", "name")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity_id_a, entity_id_b of entities that name the same person, organisation or group."""
+    return variants.pairs_of_sets(_name_sets(spark, sf_dir), "id", "entity_id_a", "entity_id_b")
+
+
+def p4_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """id and set of every entity that has variants."""
+    return _name_sets(spark, sf_dir)
 
 
 def _vector_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,6 +95,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "p4_found": p4_found,
+    "p4_sets": p4_sets,
     "p5_found": p5_found,
     "p5_neighbours": p5_neighbours,
     "p6_found": p6_found,
