@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..tables import load
-from . import canonical, cooccurrence, encode, mixing, variants, vectors
+from . import abuse, canonical, cooccurrence, encode, mixing, variants, vectors
 
 
 def _name_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +94,25 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mix(spark, sf_dir), load(spark, sf_dir, "mix_targets"))
 
 
+def _abuse_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return abuse.score_documents(load(spark, sf_dir, "documents"), "doc_id", "text", ["source"])
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id of documents with at least one abusive passage."""
+    return _abuse_scores(spark, sf_dir).where(F.col("score") >= abuse.THRESHOLD).select("doc_id").distinct()
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and kinds of abuse of every document."""
+    return _abuse_scores(spark, sf_dir).select("doc_id", "score", "kinds")
+
+
+def p10_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of abusive documents by source."""
+    return abuse.rates(_abuse_scores(spark, sf_dir), "source")
+
+
 QUERIES = {
     "p4_found": p4_found,
     "p4_sets": p4_sets,
@@ -107,6 +126,9 @@ QUERIES = {
     "p8_roundtrip": p8_roundtrip,
     "p9_mix": p9_mix,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
+    "p10_rates": p10_rates,
 }
 
 _PAIRS = """
