@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, score, time, vector
-from .model import CATEGORY_WEIGHT, GROUPS, HALF_LIFE_H, PRECISION_CONFIDENCE, STORED_HALF_LIVES
-from .operators import anomaly, events
+from .model import CATEGORY_WEIGHT, GROUPS, HALF_LIFE_H, PRECISION_CONFIDENCE, STORED_HALF_LIVES, lexicon_rows
+from .operators import anomaly, classify, entities, events, gazetteer, rules
 from .plans import reads
 from .tables import load
 
@@ -413,3 +413,126 @@ def time_bucket_floor(spark, d):
     return load(spark, d, "events").groupBy(bucket.alias("bucket_s"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
 
 
+
+
+_NORM = lambda c: f"trim(regexp_replace(lower(strip_accents({c})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_LEX = "x(category, term, w) AS (VALUES " + ", ".join(f"('{c}', '{t.replace('-', ' ')}', {w})" for c, t, w in lexicon_rows()) + ")"
+
+
+@query(
+    f"""WITH {_E}, {_LEX}, t AS (SELECT id, ' ' || {_NORM("coalesce(title, '') || ' ' || coalesce(summary, '')")} || ' ' AS t FROM e),
+a AS (SELECT category, sum(w) AS total FROM x GROUP BY 1)
+SELECT id, category, round(least(1, 1.6 * sqrt(hit / total)), 6) AS score FROM (
+  SELECT t.id, x.category, sum(CASE WHEN contains(t.t, ' ' || term || ' ') THEN w WHEN length(term) > 6 AND contains(t.t, term) THEN 0.8 * w ELSE 0 END) AS hit FROM t, x GROUP BY 1, 2) JOIN a USING (category) WHERE hit > 0"""
+)
+def lexical_scores(spark, d):
+    rows = _events(spark, d).withColumn("__text", F.concat_ws(" ", "title", "summary"))
+    return classify.lexical_scores(rows, "id", "__text").withColumn("score", F.round("score", 6))
+
+
+@query(
+    f"""WITH {_O}, p AS (SELECT id, category AS prior, CASE WHEN source_id IN ('quake.lattice', 'storm.eastgrid', 'fire.skylook') THEN 'authoritative' WHEN source_id IN ('wire.meridian') THEN 'weak' ELSE 'none' END AS strength,
+ CASE WHEN severity > 50 THEN 'seismic' ELSE 'health' END AS inferred, coalesce(category_confidence, 0) AS c FROM o)
+SELECT id, CASE WHEN prior IS NULL OR strength = 'none' THEN inferred WHEN strength = 'authoritative' THEN prior WHEN prior = inferred THEN inferred WHEN c < 0.35 THEN prior ELSE inferred END AS category,
+ round(CASE WHEN prior IS NULL OR strength = 'none' THEN c WHEN strength = 'authoritative' THEN greatest(c, 0.9) WHEN prior = inferred THEN least(1, c + 0.15) WHEN c < 0.35 THEN 0.4 ELSE c END, 6) AS confidence FROM p"""
+)
+def prior_blend(spark, d):
+    o = _observations(spark, d)
+    source = F.col("source_id")
+    strength = F.when(source.isin("quake.lattice", "storm.eastgrid", "fire.skylook"), "authoritative").when(source == "wire.meridian", "weak").otherwise("none")
+    inferred = F.when(F.col("severity") > 50, "seismic").otherwise("health")
+    blended = classify.blend_prior(F.col("category"), strength, inferred, F.coalesce("category_confidence", F.lit(0.0)))
+    return o.select("id", blended.alias("b")).select("id", "b.category", F.round("b.confidence", 6).alias("confidence"))
+
+
+@query(
+    f"""WITH {_O}, i AS (SELECT id FROM o WHERE occurred_at >= TIMESTAMPTZ '2025-03-10 00:00:00+00' AND occurred_at < TIMESTAMPTZ '2025-03-17 00:00:00+00'),
+m AS (SELECT observation_id, entity_id, max(mentions) AS mentions FROM observation_entities WHERE entity_id IS NOT NULL AND observation_id IN (SELECT id FROM i) GROUP BY 1, 2),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY mentions DESC, entity_id) AS k FROM m) WHERE k <= 8),
+s AS (SELECT entity_id, count(*) AS n FROM b GROUP BY 1), t AS (SELECT count(DISTINCT observation_id) AS total FROM b),
+c AS (SELECT x.entity_id AS source, y.entity_id AS target, count(*) AS n FROM b x JOIN b y ON x.observation_id = y.observation_id AND x.entity_id < y.entity_id GROUP BY 1, 2)
+SELECT source, target, c.n AS co_occurrences, round(CASE WHEN c.n >= total THEN CASE WHEN a.n >= total AND z.n >= total THEN 1.0 ELSE 0.0 END ELSE greatest(-1, least(1, log2((c.n / total) / ((a.n / total) * (z.n / total))) / -log2(c.n / total))) END, 6) AS npmi
+FROM c JOIN s a ON a.entity_id = source JOIN s z ON z.entity_id = target, t"""
+)
+def entity_pairs_npmi(spark, d):
+    at = lambda day: F.lit(f"2025-03-{day} 00:00:00").cast("timestamp")
+    edges = entities.co_occurrence_edges(load(spark, d, "observation_entities"), _observations(spark, d), at("10"), at("17"))
+    return edges.withColumn("npmi", F.round("npmi", 6))
+
+
+_RULES = [
+    (1, ["armed_conflict", "terrorism"], None, "defence", "Defence", "security", 80.0, 0.8), (2, ["seismic", "wildfire", "severe_weather", "natural_disaster"], None, "insurance", "Insurance", "operations", 70.0, 0.7),
+    (3, ["severe_weather", "natural_disaster"], r"(?i)\b(drought|flood|crop)", "agriculture", "Agriculture", "supply", 75.0, 0.8), (4, ["maritime"], None, "shipping", "Shipping", "supply", 68.0, 0.7),
+    (5, ["wildfire", "infrastructure"], None, "insurance", "Insurers", "operations", 66.0, 0.9),
+]
+_RULES_SQL = "r(rule, category, keywords, exposure, channel, base, spec) AS (VALUES " + ", ".join(f"({r}, '{c}', {'NULL' if k is None else repr('flood|drought|crop')}, '{x}', '{ch}', {b}, {s})" for r, cs, k, x, _, ch, b, s in _RULES for c in cs) + ")"
+
+
+def _exposures(spark, d):
+    return rules.exposures(_events(spark, d), spark.createDataFrame(_RULES, rules.RULES))
+
+
+_EXPOSED = f"""WITH {_E}, {_RULES_SQL}, q AS (SELECT e.id, r.*, least(1, 0.3 + severity / 250 + confidence / 500 + least(2, velocity) / 20) AS st, confidence AS c FROM e JOIN r ON r.category = e.category
+ AND (r.keywords IS NULL OR regexp_matches(coalesce(title, '') || ' ' || coalesce(summary, ''), '(?i)\\b(drought|flood|crop)'))),
+z AS (SELECT id, exposure, channel, rule, CAST(floor(least(100, greatest(0, base * st)) + 0.5) AS INTEGER) AS materiality, CAST(floor(least(100, greatest(0, c * spec)) + 0.5) AS INTEGER) AS confidence FROM q),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, exposure ORDER BY materiality DESC, rule) AS k FROM z) WHERE k = 1 AND materiality >= 30 AND confidence >= 20)"""
+
+
+@query(_EXPOSED + " SELECT id, exposure, channel, materiality, confidence FROM k")
+def rule_exposures(spark, d):
+    return _exposures(spark, d).select("id", "exposure", "channel", "materiality", "confidence")
+
+
+@query(_EXPOSED + " SELECT c AS channel, count(DISTINCT k.id) AS n FROM (SELECT unnest(['security', 'supply', 'policy', 'operations', 'macro']) AS c) LEFT JOIN k ON k.channel = c GROUP BY 1")
+def rule_channels(spark, d):
+    return rules.channel_counts(_exposures(spark, d), ["security", "supply", "policy", "operations", "macro"])
+
+
+@query(
+    f"""WITH {_E}, v AS (SELECT *, centroid::DOUBLE[] AS c FROM e WHERE len(centroid) = 64 AND len(list_filter(centroid, lambda x: isnan(x))) = 0 AND len(list_filter(centroid, lambda x: x <> 0)) > 0),
+b AS (SELECT s.id AS s, t.id AS e, list_cosine_similarity(s.c, t.c) AS sim, abs(epoch_us(s.first_seen_at) - epoch_us(t.last_seen_at)) / 3.6e9 AS gap, s.category = t.category AS same FROM v s JOIN v t ON abs(epoch_us(s.first_seen_at) - epoch_us(t.last_seen_at)) <= 72 * 3600000000 WHERE s.id <> t.id)
+SELECT s AS subject_id, e AS event_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, e) AS k FROM b WHERE sim >= 0.8) WHERE k = 1"""
+)
+def best_static_match(spark, d):
+    """Nearest other event in time and meaning; the places of both are left out, so that only the vector and time gates decide."""
+    usable = _events(spark, d).where((F.size("centroid") == 64) & ~F.exists("centroid", lambda x: F.isnan(x)) & F.exists("centroid", lambda x: x != 0))
+    s = usable.select(F.col("id").alias("s"), F.col("centroid").alias("a"), F.col("first_seen_at").alias("t"), F.floor(F.unix_seconds("first_seen_at") / 86_400).alias("day"))
+    e = usable.select(F.col("id").alias("e"), F.col("centroid").alias("b"), F.col("last_seen_at").alias("u"), F.floor(F.unix_seconds("last_seen_at") / 86_400).alias("at"))
+    near = s.join(e.withColumn("day", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3))), "day").where((time.hours_between(F.col("t"), F.col("u")) <= 72) & (F.col("s") != F.col("e")))
+    scored = near.withColumn("sim", vector.cosine(F.col("a"), F.col("b"))).where("sim >= 0.8")
+    best = scored.groupBy("s").agg(F.max_by(F.struct("e", "sim"), F.struct(F.col("sim"), F.transform(F.split("e", ""), lambda c: -F.ascii(c)))).alias("m"))
+    return best.select(F.col("s").alias("subject_id"), F.col("m.e").alias("event_id"), F.round("m.sim", 6).alias("similarity"))
+
+
+@query(
+    f"""WITH {_E}, u AS (SELECT DISTINCT id, lat, CASE WHEN lon > 180 THEN lon - 360 WHEN lon < -180 THEN lon + 360 ELSE lon END AS lon FROM e WHERE lat IS NOT NULL AND lon IS NOT NULL AND NOT isnan(lat) AND NOT isnan(lon) AND abs(lat) <= 90 AND abs(lon) <= 360 AND NOT (lat = 0 AND lon = 0)),
+p AS (SELECT u.id, p.geoname_id, {_HAV('u.lat', 'u.lon', 'p.lat', 'p.lon')} AS km FROM u JOIN places p ON p.lat BETWEEN u.lat - 1 AND u.lat + 1)
+SELECT id, geoname_id, round(km, 6) AS km FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY km, geoname_id) AS k FROM p WHERE km <= 100) WHERE k = 1"""
+)
+def nearest_place(spark, d):
+    near = gazetteer.nearest_place(_events(spark, d), "id", load(spark, d, "places"), 100.0)
+    return near.select("id", "geoname_id", F.round("distance_km", 6).alias("km"))
+
+
+@query()
+def resolved_locations(spark, d):
+    """Places of the observations by title and hint alone, with the step of the ladder that decided."""
+    places = load(spark, d, "places")
+    countries = places.select(F.col("country_code").alias("iso2"), F.lit(None).cast("string").alias("iso3"), F.lit(None).cast("string").alias("fips"), F.col("country_name").alias("name")).distinct()
+    o = _observations(spark, d).select("id", "title", "body", F.col("place_name").alias("place_hint"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "geo_precision", F.lit(None).cast("string").alias("country_code"), F.lit(None).cast("string").alias("fips"))
+    return gazetteer.resolve_locations(o, places, countries).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def entity_extract(spark, d):
+    """Entities of the observations' titles by the default extractor."""
+    found = entities.extract_entities(_observations(spark, d), "id", "title", None, gazetteer.place_names(load(spark, d, "places")))
+    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_key").alias("keys"))
+
+
+@query()
+def online_clusters(spark, d):
+    """Events by sequential assignment of the enriched observations, a sequence per country."""
+    vectors = load(spark, d, "enrichments").groupBy(F.col("observation_id").alias("id")).agg(F.min("embedding").alias("embedding"))
+    o = _observations(spark, d).join(vectors, "id")
+    return events.cluster_online(o, ["country_code"]).groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))

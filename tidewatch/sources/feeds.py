@@ -103,7 +103,7 @@ def event_export(lines: DataFrame, now: Column) -> DataFrame:
     return draft(
         rows, source_id=F.lit("gdelt.events"), external_id=F.col("id"), title=title, body=_sentence(F.concat("label", F.lit(".")), F.concat(F.lit("Reported by "), sources.cast("string"), F.lit(" sources."))),
         url=text.safe_url(F.col("url")), occurred_at=at, published_at=at, lat=F.col("at.lat"), lon=F.col("at.lon"), geo_precision=precision, place_name=F.col("place"), place_hint=F.col("place"),
-        category=text.root_category(F.col("root")), magnitude=number("goldstein"), tone=F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number("tone") / 100)), report_count=F.greatest(sources, F.lit(1)), actors=F.col("actors"), raw=raw,
+        category=text.root_category(F.col("root")), magnitude=number("goldstein"), tone=F.when(number("tone").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), number("tone") / 100))), report_count=F.greatest(sources, F.lit(1)), actors=F.col("actors"), raw=raw,
     )
 
 
