@@ -41,7 +41,7 @@ def match_candidates(subjects: DataFrame, events: DataFrame, threshold: float =
     id, centroid, category, lat, lon, geo_precision, country_code, last_seen_at. Candidates are at most the largest
     gap away in time, so both sides meet in day buckets; of those the ``candidates`` most similar are weighed.
     """
-    days = F.floor(MATCH_MAX_GAP_H / 24)
+    days = int(-(-MATCH_MAX_GAP_H // 24))
     s = subjects.select(*[F.col(c).alias(f"s_{c}") for c in subjects.columns]).withColumn("day", F.floor(F.unix_seconds("s_occurred_at") / 86_400))
     e = events.select(*[F.col(c).alias(f"e_{c}") for c in events.columns]).withColumn("at", F.floor(F.unix_seconds("e_last_seen_at") / 86_400))
     e = e.withColumn("day", F.explode(F.sequence(F.col("at") - days, F.col("at") + days)))
@@ -133,7 +133,7 @@ def cluster_online(observations: DataFrame, block: list[str] | None = None) -> D
         out = [(r["id"], *clusters.assign(r)[:2]) for r in ordered.astype(object).where(ordered.notna(), None).to_dict("records")]
         return pd.DataFrame(out, columns=["observation_id", "event_id", "similarity"])
 
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(1))
+    grouped = rows.groupBy(*keys) if keys else rows.withColumn("__all", F.lit(1)).groupBy("__all")
     return grouped.applyInPandas(run, "observation_id string, event_id string, similarity double")
 
 

@@ -66,16 +66,17 @@ def nearest_place(points: DataFrame, key: str, places: DataFrame, km: float) ->
 
 def spans(words: Column) -> Column:
     """Runs of four to one capitalised words of an array of struct(raw, norm): struct(at, n, norm)."""
-    runs = [
-        F.transform(
+
+    def runs_of(n: int) -> Column:
+        part = lambda i: F.slice(words, i + 1, n)
+        return F.transform(
             F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))),
-            lambda i, n=n: F.struct(
-                i.alias("at"), F.lit(n).alias("n"), F.array_join(F.transform(F.slice(words, i + 1, n), lambda w: w["norm"]), " ").alias("norm"),
-                F.forall(F.slice(words, i + 1, n), lambda w: text.is_capitalised(w["raw"])).alias("good"), (F.size(F.slice(words, i + 1, n)) == n).alias("whole"),
+            lambda i: F.struct(
+                i.alias("at"), F.lit(n).alias("n"), F.array_join(F.transform(part(i), lambda w: w["norm"]), " ").alias("norm"), F.forall(part(i), lambda w: text.is_capitalised(w["raw"])).alias("good"), (F.size(part(i)) == n).alias("whole")
             ),
         )
-        for n in (4, 3, 2, 1)
-    ]
+
+    runs = [runs_of(n) for n in (4, 3, 2, 1)]
     return F.filter(F.concat(*runs), lambda s: s["good"] & s["whole"])
 
 

@@ -28,9 +28,13 @@ def deduplicated(stream: DataFrame, event_time: str = "occurred_at", delay: str
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(["source_id", "external_id"])
 
 
-def hourly_volume(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """Completed hours per category and cell; in append mode an hour comes out once the watermark passed it."""
-    marked = stream.where("grid_cell is not null").withWatermark("occurred_at", delay)
+def hourly_volume(stream: DataFrame, delay: str | None = "1 hour") -> DataFrame:
+    """Completed hours per category and cell; in append mode an hour comes out once the watermark passed it.
+
+    No ``delay`` for a stream that has its watermark already.
+    """
+    marked = stream.where("grid_cell is not null")
+    marked = marked.withWatermark("occurred_at", delay) if delay else marked
     grouped = marked.groupBy(F.window("occurred_at", "1 hour"), *KEYS).agg(F.count(F.lit(1)).alias("observed"), F.max("severity").alias("max_severity"))
     return grouped.select(*KEYS, F.col("window.start").alias("bucket"), "observed", "max_severity")
 
