@@ -121,7 +121,7 @@ def map_places(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
             parsed = [parse_place(v, countries) for v in batch["value"]]
             yield batch.assign(names=[p[0] for p in parsed], said=[p[1] for p in parsed])
 
-    distinct = values.select("value", "country_code").where(F.length(F.trim("value")) > 0).distinct()
+    distinct = values.select("value", "country_code").where(F.col("value").rlike(r"(?U)\S")).distinct()
     parsed = distinct.mapInPandas(parse, "value string, country_code string, names array<string>, said string")
     parsed = cut_lineage(parsed.select("value", "country_code", "names", F.coalesce("said", "country_code").alias("country")))
     names = cut_lineage(_name_table(entries))
@@ -176,7 +176,7 @@ def typed_places(geocode_inputs: DataFrame, alerts: DataFrame) -> DataFrame:
 
 def map_records(records: DataFrame, entries: DataFrame) -> DataFrame:
     """record_kind, record_id, geoname_id of every record with a value; each row once."""
-    usable = records.where(F.length(F.trim("value")) > 0)
+    usable = records.where(F.col("value").rlike(r"(?U)\S"))
     mapped = map_places(usable, entries).withColumnRenamed("country_code", "cc")
     joined = usable.join(mapped, (usable["value"] == mapped["value"]) & usable["country_code"].eqNullSafe(mapped["cc"]))
     return joined.select("record_kind", "record_id", "geoname_id").distinct()

@@ -6,8 +6,8 @@
    the rarest q-grams of a token are looked up, as many as two edits can destroy and one more, so
    no token within two edits is missed; the edit distance confirms. A rare token stands for its
    most frequent neighbour.
-3. Names that share a rare token are compared; only the tokens whose weight the similarity can't do without are
-   looked up (again a prefix filter). The soft similarity weighs tokens by rarity, and takes an
+3. Names are compared with those that hold one of their heaviest words, the ones that the similarity can't do
+   without (again a prefix filter). The soft similarity weighs tokens by rarity, and takes an
    initial, a cut-off word or an acronym for the words it may stand for.
 4. Links between names written out make the sets. A name that only initials or acronyms link is added to
    a set if there is just one that it can belong to.
@@ -203,15 +203,15 @@ def variant_sets(entities: DataFrame, key: str, name: str, threshold: float = TH
     vectors = weighed.groupBy("form").agg(listed.alias("l")).select("form", F.transform("l", lambda x: x["token"]).alias("tokens"), F.transform("l", lambda x: x["w"]).alias("weights"))
     vectors = cut_lineage(vectors)
 
-    # Without its heaviest tokens a name can't have the threshold's share in common; those are looked up. What
-    # stands for an unknown number of words isn't counted on.
+    # Without its heaviest words a name can't have the threshold's share in common; those are looked up among all words of
+    # the others. What stands for an unknown number of words isn't counted on, so a name with initials probes by its words.
     plain = vectors.select("form", F.explode(F.arrays_zip("tokens", "weights")).alias("x")).select("form", F.col("x.tokens").alias("token"), F.col("x.weights").alias("w")).where(~marked)
     along = Window.partitionBy("form").orderBy(F.desc("w"), "token")
     before = F.coalesce(F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
     everything = F.sum("w").over(Window.partitionBy("form"))
-    prefix = plain.withColumn("before", before).withColumn("all", everything).where(F.col("before") <= (1 - threshold) * F.col("all") + 1e-9).select("form", "token").distinct()
-    prefix = cut_lineage(prefix)
-    candidates = prefix.join(prefix.withColumnRenamed("form", "other"), "token").where("form < other").select("form", "other").distinct()
+    ranked = cut_lineage(plain.withColumn("before", before).withColumn("all", everything).select("form", "token", (F.col("before") <= (1 - threshold) * F.col("all") + 1e-9).alias("probe")).distinct())
+    probes, index = ranked.where("probe").select("form", "token"), ranked.select(F.col("form").alias("other"), "token")
+    candidates = probes.join(index, "token").where("form <> other").select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other")).distinct()
     sides = candidates.join(vectors, "form").join(vectors.select(F.col("form").alias("other"), F.col("tokens").alias("tokens2"), F.col("weights").alias("weights2")), "other")
 
     @F.pandas_udf("struct<score:double,weak:boolean>")
