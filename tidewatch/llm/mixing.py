@@ -94,6 +94,8 @@ def _histogram(sized: DataFrame, level: int, edges: dict[str, int] | None) -> di
 def size_documents(documents: DataFrame, targets: DataFrame, tokenizer: str | None = None) -> DataFrame:
     """doc_id, source, n_tokens and hash of the documents of the sources to be mixed, kept."""
     names = targets.select("source").where("source is not null").distinct()
+    if names.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources to mix")
     mixed = documents.select("doc_id", "source", "text").join(F.broadcast(names), "source")
     sized = count_tokens(mixed, ["doc_id", "source"], "text", tokenizer)
     return cut_lineage(sized.withColumn("hash", F.xxhash64(F.lit("mix"), "doc_id")))
