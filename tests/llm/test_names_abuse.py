@@ -36,6 +36,7 @@ def test_variants_of_persons_and_organisations(spark):
 
 def test_ambiguous_initials_join_nobody(spark):
     assert sets(spark, ["Henry Tazarkostu", "Helena Tazarkostu", "H. Tazarkostu"]) == []
+    assert sets(spark, ["Henry Tazarkostu", "Helena P. Tazarkostu", "H. P. Tazarkostu"]) == [["H. P. Tazarkostu", "Helena P. Tazarkostu"]]
     assert sets(spark, ["Henry Tazarkostu", "H. Tazarkostu", "Zed Unrelated"]) == [["H. Tazarkostu", "Henry Tazarkostu"]]
 
 

@@ -27,6 +27,8 @@ from .names_text import edits, fold, grams, split_joined
 
 #: Share of the token weight that two names must have in common.
 THRESHOLD = 0.80
+#: By how much a set must be closer than the next for a name of initials to belong to it.
+CLOSER = 0.01
 #: Tokens shorter than this are never taken for misspelt.
 SHORTEST = 5
 #: Occurrences up to which a token may be a misspelling of another, by one edit and by two.
@@ -218,20 +220,23 @@ def variant_sets(entities: DataFrame, key: str, name: str, threshold: float = TH
     def compare(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([similarity(list(p), list(q), list(u), list(v)) for p, q, u, v in zip(a, b, wa, wb)], columns=["score", "weak"])
 
-    links = sides.select("form", "other", compare("tokens", "tokens2", "weights", "weights2").alias("s")).where(F.col("s.score") >= threshold).select("form", "other", "s.weak")
+    links = sides.select("form", "other", compare("tokens", "tokens2", "weights", "weights2").alias("s")).where(F.col("s.score") >= threshold).select("form", "other", "s.weak", "s.score")
     links = cut_lineage(links)
 
     strong = components(links.where("not weak"), "form", "other")
     label = forms.select("form").join(strong.withColumnRenamed("node", "form"), "form", "left").select("form", F.coalesce("set", "form").alias("set"))
     label = cut_lineage(label)
     weak = links.where("weak")
-    sides = weak.select("form", "other").unionByName(weak.select(F.col("other").alias("form"), F.col("form").alias("other")))
+    sides = weak.select("form", "other", "score").unionByName(weak.select(F.col("other").alias("form"), F.col("form").alias("other"), "score"))
     full = vectors.select("form", (~F.exists("tokens", lambda t: t.rlike("[.!]$"))).alias("full"), F.size(F.filter("tokens", lambda t: ~t.rlike("[.!]$"))).alias("plain"))
     reach = sides.join(full.select("form", F.col("plain").alias("p1")), "form").join(full.select(F.col("form").alias("other"), F.col("plain").alias("p2")), "other")
-    # A set that says less looks for the one set that says more; every member counts.
+    # A set that says less looks for the one set that says more; every member counts. Of several the closest is meant if it
+    # is closer than the others (a second initial tells two namesakes apart), else none.
     outward = reach.join(label, "form").join(label.select(F.col("form").alias("other"), F.col("set").alias("target")), "other").where("set <> target")
-    upward = outward.where("p2 > p1").groupBy("set").agg(F.count_distinct("target").alias("targets"), F.min("target").alias("target"))
-    unique = upward.where("targets = 1").select(F.col("set").alias("a"), F.col("target").alias("b"))
+    upward = outward.where("p2 > p1").groupBy("set", "target").agg(F.max("score").alias("score"))
+    closest = Window.partitionBy("set").orderBy(F.desc("score"), "target")
+    unique = upward.withColumn("k", F.row_number().over(closest)).withColumn("next", F.lead("score").over(closest)).where("k = 1").where(F.col("score") - F.coalesce("next", F.lit(0.0)) >= CLOSER)
+    unique = unique.select(F.col("set").alias("a"), F.col("target").alias("b"))
     level = outward.where("p2 = p1").join(upward.select("set"), "set", "left_anti").join(upward.select(F.col("set").alias("target")), "target", "left_anti")
     joined = unique.unionByName(level.select(F.col("set").alias("a"), F.col("target").alias("b"))).distinct()
     merged = components(joined, "a", "b")
