@@ -17,12 +17,16 @@ AUTHORITATIVE = ["usgs.quakes", "gdacs.alerts", "nasa.eonet", "nws.alerts", "fir
 WEAK = ["gdelt.events", "ocha.reliefweb"]
 
 
-def lexical_score(text: Column, category: str) -> Column:
+def searchable(text: Column) -> Column:
+    """Normalised text with a blank around it; a column of its own, as every term looks into it."""
+    return F.concat(F.lit(" "), normalize_key(text), F.lit(" "))
+
+
+def lexical_score(norm: Column, category: str) -> Column:
     """0 to 1 for one category: 1.6 times the root of the share of term weight that occurs.
 
-    A whole word or phrase counts fully, a longer term inside a word by 0.8.
+    ``norm`` is a ``searchable`` text. A whole word or phrase counts fully, a longer term inside a word by 0.8.
     """
-    norm = F.concat(F.lit(" "), normalize_key(text), F.lit(" "))
     terms = [(t.replace("-", " "), w) for c, t, w in lexicon_rows() if c == category]
     table = F.array(*[F.struct(F.lit(t).alias("t"), F.lit(w).alias("w")) for t, w in terms])
     hit = lambda x: (
@@ -34,7 +38,8 @@ def lexical_score(text: Column, category: str) -> Column:
 
 def lexical_scores(df: DataFrame, key: str, text: str) -> DataFrame:
     """key, category, score of the categories with a term in the text."""
-    scores = F.array(*[F.struct(F.lit(c).alias("category"), lexical_score(F.col(text), c).alias("score")) for c in LEXICON])
+    df = df.select(key, searchable(F.col(text)).alias("__norm"))
+    scores = F.array(*[F.struct(F.lit(c).alias("category"), lexical_score(F.col("__norm"), c).alias("score")) for c in LEXICON])
     return df.select(key, F.explode(F.filter(scores, lambda s: s["score"] > 0)).alias("s")).select(key, "s.category", "s.score")
 
 
@@ -63,8 +68,8 @@ def semantic_scores(vector: Column, prototypes: dict[str, list[list[float]]]) ->
 def classify(df: DataFrame, key: str, text: str, vector: str, prototypes: dict[str, list[list[float]]]) -> DataFrame:
     """key, category, category_confidence and the next three categories; ``other`` below the floor."""
     categories = list(LEXICON)
-    lexical = F.array(*[F.struct(F.lit(c).alias("category"), lexical_score(F.col(text), c).alias("score")) for c in categories])
-    rows = df.select(key, lexical.alias("lex"), semantic_scores(F.col(vector), prototypes).alias("sem"))
+    lexical = F.array(*[F.struct(F.lit(c).alias("category"), lexical_score(F.col("__norm"), c).alias("score")) for c in categories])
+    rows = df.select(key, searchable(F.col(text)).alias("__norm"), semantic_scores(F.col(vector), prototypes).alias("sem")).select(key, lexical.alias("lex"), "sem")
     lex_map, sem_map = F.map_from_entries("lex"), F.map_from_entries("sem")
     every = sorted({*categories, *prototypes})
     zero = F.lit(0.0)
