@@ -176,3 +176,33 @@ def test_hot_and_cold_join(spark):
     table = spark.createDataFrame([("hot", 60, 1)] + [(f"k{i}", 1, 2) for i in range(40)], "k string, n bigint, v int").cache()
     out = join_hot_cold(df, table, "k", "n", ["v"])
     assert out.columns == ["k", "x", "v"] and out.count() == 100 and out.where("v = 1").count() == 60
+
+
+def test_enrichment(spark, gaz):
+    from tidewatch.operators import enrich
+    from tidewatch.sources.feeds import DRAFT
+
+    def row(**kw):
+        base = dict.fromkeys(p.split(" ")[0] for p in DRAFT.split(", "))
+        return {**base, "source_id": "usgs.quakes", "occurred_at": T0, "report_count": 1, "actors": [], **kw}
+
+    drafts = spark.createDataFrame([row(external_id="1", title="Earthquake shakes Geneva", category="seismic", magnitude=6.0, tone=-0.5), row(external_id="1", title="Later copy", occurred_at=T0 + timedelta(1)), row(external_id="2", title="Cholera outbreak", source_id="rss.x", actors=["World Bank"]), row(external_id=None, title="x"), row(external_id="3", title=" ")], DRAFT)
+    out = {r["external_id"]: r for r in enrich.enrich(drafts, *gaz).collect()}
+    assert sorted(out) == ["1", "2"] and out["1"]["country_code"] == "CH" and out["1"]["category"] == "seismic" and out["1"]["category_confidence"] >= 0.9 and out["1"]["grid_cell"] == "5:27:37" and out["1"]["severity"] > out["2"]["severity"]
+    assert out["2"]["category"] == "health" and out["2"]["geo_precision"] == "unknown" and out["2"]["lat"] is None
+    ents, links = enrich.link_entities(enrich.enrich(drafts, *gaz), gazetteer.place_names(gaz[0]))
+    assert {(r["entity_key"], r["kind"]) for r in ents.collect()} >= {("world bank", "organization")} and links.count() >= 2
+
+
+def test_detail_and_names(spark):
+    obs = spark.createDataFrame([observation(i, i, [1.0, 0.0]) for i in range(3)], OBS)
+    ev = spark.createDataFrame([("e", "E", [1.0, 0.0]), ("f", "F", [1.0, 0.1]), ("g", "G", None)], "id string, title string, centroid array<double>")
+    links = spark.createDataFrame([("e", "o0"), ("e", "o1"), ("f", "o2")], "event_id string, observation_id string")
+    mentions = spark.createDataFrame([("o0", "x", 2), ("o1", "x", 1), ("o1", None, 1), ("o2", "y", 1)], "observation_id string, entity_id string, mentions int")
+    ents = spark.createDataFrame([("x", "X", "person"), ("y", "Y", "person")], "id string, name string, kind string")
+    src = spark.createDataFrame([("s", "Source")], "id string, name string")
+    d = reads.event_detail(ev, "e", links, obs, src, mentions, ents)
+    assert [r["observation_id"] for r in d["members"].orderBy("occurred_at").collect()] == ["o0", "o1"] and [tuple(r)[1:5] for r in d["entities"].collect()] == [("x", "X", "person", 3)] and [r["id"] for r in d["related"].collect()] == ["f"]
+    names = spark.createDataFrame([("press.a",), ("quake.b.c",), (None,)], "s string").select(reads.source_short_name(F.col("s"), {"quake.b": "Quakes"}).alias("n"), reads.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000")).alias("u")).collect()
+    assert [r["n"] for r in names] == ["Press", "Quakes", None] and names[0]["u"]
+    assert reads.wire_rows(spark.createDataFrame([(T0,)], "t timestamp")).first()["json"] == '{"t":"2025-03-01T00:00:00.000Z"}'

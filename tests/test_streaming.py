@@ -72,3 +72,18 @@ def test_windows_compile(spark, tmp_path):
     stream = jobs.read_stream(spark, str(tmp_path / "in"), SCHEMA)
     assert run(jobs.sliding_volume(stream, "6 hours", "1 hour"), tmp_path, "slide").where(F.col("n") <= 0).count() == 0
     assert run(jobs.sessions(stream, "1 hour"), tmp_path, "sessions").count() >= 0
+
+
+def test_streamed_assignment_equals_one_sequence(spark, tmp_path):
+    from tidewatch.operators.events import cluster_online
+
+    schema = "id string, embedding array<double>, category string, lat double, lon double, geo_precision string, country_code string, occurred_at timestamp"
+    data = [(f"o{i:02d}", [1.0, float(i % 3)], "c", 10.0 + i % 2, 10.0, "city", "AA", T0 + timedelta(hours=3 * i)) for i in range(24)] + [("none", None, "c", None, None, None, None, T0 + timedelta(hours=80))]
+    for part in (data[:9], data[9:17], data[17:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = jobs.read_stream(spark, str(tmp_path / "in"), schema, 1)
+    sink = jobs.assignment_sink(spark, str(tmp_path / "state"), str(tmp_path / "links"))
+    jobs.start(stream, str(tmp_path / "cp")).foreachBatch(sink).start().awaitTermination(180)
+    got = {r["observation_id"]: r["event_id"] for r in spark.read.parquet(str(tmp_path / "links")).collect()}
+    want = {r["observation_id"]: r["event_id"] for r in cluster_online(spark.createDataFrame(data, schema)).collect()}
+    assert got == want and len(set(got.values())) < len(got)

@@ -239,3 +239,31 @@ def marker_size(severity: Column) -> Column:
 def wire_rows(df: DataFrame) -> DataFrame:
     """Rows as JSON text with ISO timestamps in UTC."""
     return df.select(F.to_json(F.struct(*df.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "timeZone": "UTC"}).alias("json"))
+
+
+def event_detail(events: DataFrame, event_id: str, links: DataFrame, observations: DataFrame, sources: DataFrame, mentions: DataFrame, entities: DataFrame) -> dict[str, DataFrame]:
+    """The event, its newest 200 members, its 25 most mentioned entities and 6 related events; no event, no rows.
+
+    The event's links are few, so they are filtered before any join.
+    """
+    own = links.where(F.col("event_id") == event_id)
+    return {
+        "event": events.where(F.col("id") == event_id),
+        "members": members(own, observations.withColumnRenamed("id", "observation_id"), sources),
+        "entities": top_entities(own, mentions, entities, 25),
+        "related": nearest_events(events, event_id, 6),
+    }
+
+
+def is_uuid(text: Column) -> Column:
+    return F.lower(text).rlike(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$")
+
+
+def source_short_name(source_id: Column, labels: dict[str, str]) -> Column:
+    """Label of the longest of the prefixes that a source id has, else its first part with a capital."""
+    out = None
+    for prefix in sorted(labels, key=len, reverse=True):
+        hit = source_id.startswith(prefix)
+        out = F.when(hit, labels[prefix]) if out is None else out.when(hit, labels[prefix])
+    rest = F.initcap(F.split(source_id, r"\.")[0])
+    return out.otherwise(rest) if out is not None else rest

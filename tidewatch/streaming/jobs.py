@@ -111,3 +111,47 @@ def start(df: DataFrame, checkpoint: str, once: bool = True, every: str = "30 se
     """A writer with its checkpoint and trigger: everything that is there, once, or every so often."""
     writer = df.writeStream.option("checkpointLocation", checkpoint).outputMode(mode)
     return writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)
+
+
+def assignment_sink(spark: SparkSession, state: str, target: str, max_gap_hours: float = 72.0):
+    """foreachBatch function: assigns a batch of observations to the live events of the state table.
+
+    The order of arrival decides and both sides share no key, so a batch is one sequence; batches are bounded by
+    the reader (``files_per_trigger``) and the state by the events of the last ``max_gap_hours``. Links are written a folder
+    a batch id, and the state a new folder a batch, so a batch that is run again gives the same.
+    """
+    from ..operators.events import OnlineClusters
+
+    columns = ["id", "embedding", "category", "lat", "lon", "geo_precision", "country_code", "occurred_at"]
+    saved = "id string, category string, lat double, lon double, geo_precision string, country_code string, total array<double>, n bigint, last timestamp"
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        live = spark.read.schema(saved).parquet(f"{state}/{batch_id - 1}") if batch_id else spark.createDataFrame([], saved)
+        marked = live.select(F.lit(True).alias("old"), F.struct(*live.columns).alias("event"), F.lit(None).cast(batch.select(*columns).schema).alias("row"))
+        fresh = batch.where("id is not null and occurred_at is not null").select(*columns).dropDuplicates(["id"])
+        both = marked.unionByName(fresh.select(F.lit(False).alias("old"), F.lit(None).cast(live.schema).alias("event"), F.struct(*columns).alias("row"))).withColumn("all", F.lit(1))
+
+        def assign(pdf: pd.DataFrame) -> pd.DataFrame:
+            import numpy as np
+
+            clusters = OnlineClusters()
+            none = lambda d: {k: None if isinstance(v, float) and v != v else v for k, v in d.items()}
+            for e in (none(dict(x)) for x in pdf.loc[pdf["old"], "event"]):
+                clusters.ids.append(e["id"])
+                clusters.rows.append({**{k: e[k] for k in ("category", "lat", "lon", "geo_precision", "country_code")}, "sum": None if e["total"] is None else np.asarray(e["total"], float), "n": e["n"], "last": e["last"]})
+            rows = sorted((none(dict(x)) for x in pdf.loc[~pdf["old"], "row"]), key=lambda r: (r["occurred_at"], r["id"]))
+            out = [("link", r["id"], *clusters.assign(r)[:2], None) for r in rows]
+            newest = max((e["last"] for e in clusters.rows), default=None)
+            for name, e in zip(clusters.ids, clusters.rows):
+                if (newest - e["last"]).total_seconds() <= max_gap_hours * 3600:
+                    kept = {**{k: e[k] for k in ("category", "lat", "lon", "geo_precision", "country_code", "n", "last")}, "id": name, "total": None if e["sum"] is None else e["sum"].tolist()}
+                    out.append(("event", name, None, None, kept))
+            return pd.DataFrame(out, columns=["what", "observation_id", "event_id", "similarity", "event"])
+
+        schema = f"what string, observation_id string, event_id string, similarity double, event struct<{', '.join(p.replace(' ', ':', 1) for p in saved.split(', '))}>"
+        done = both.groupBy("all").applyInPandas(assign, schema).persist()
+        done.where("what = 'link'").select("observation_id", "event_id", "similarity").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        done.where("what = 'event'").select("event.*").write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        done.unpersist()
+
+    return run
