@@ -187,10 +187,11 @@ def test_enrichment(spark, gaz):
         return {**base, "source_id": "usgs.quakes", "occurred_at": T0, "report_count": 1, "actors": [], **kw}
 
     drafts = spark.createDataFrame([row(external_id="1", title="Earthquake shakes Geneva", category="seismic", magnitude=6.0, tone=-0.5), row(external_id="1", title="Later copy", occurred_at=T0 + timedelta(1)), row(external_id="2", title="Cholera outbreak", source_id="rss.x", actors=["World Bank"]), row(external_id=None, title="x"), row(external_id="3", title=" ")], DRAFT)
-    out = {r["external_id"]: r for r in enrich.enrich(drafts, *gaz).collect()}
+    enriched = enrich.enrich(drafts, *gaz).cache()
+    out = {r["external_id"]: r for r in enriched.collect()}
     assert sorted(out) == ["1", "2"] and out["1"]["country_code"] == "CH" and out["1"]["category"] == "seismic" and out["1"]["category_confidence"] >= 0.9 and out["1"]["grid_cell"] == "5:27:37" and out["1"]["severity"] > out["2"]["severity"]
     assert out["2"]["category"] == "health" and out["2"]["geo_precision"] == "unknown" and out["2"]["lat"] is None
-    ents, links = enrich.link_entities(enrich.enrich(drafts, *gaz), gazetteer.place_names(gaz[0]))
+    ents, links = enrich.link_entities(enriched, gazetteer.place_names(gaz[0]))
     assert {(r["entity_key"], r["kind"]) for r in ents.collect()} >= {("world bank", "organization")} and links.count() >= 2
 
 

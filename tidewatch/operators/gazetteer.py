@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import cut_lineage
 from .spatial import pairs_within, usable_location
 
 #: Inhabitants from which a bare capitalised word may be a place.
@@ -146,7 +147,11 @@ def resolve_locations(drafts: DataFrame, places: DataFrame, countries: DataFrame
 
 
 def name_precise(resolved: DataFrame, places: DataFrame) -> DataFrame:
-    """Fills place_name and country_code of located rows without a name from the nearest place in reach of their precision."""
+    """Fills place_name and country_code of located rows without a name from the nearest place in reach of their precision.
+
+    The rows are materialised once, as the join looks at them several times.
+    """
+    resolved = cut_lineage(resolved)
     open_rows = resolved.where("place_name is null and lat is not null")
     known = places.select("geoname_id", F.col("name").alias("near_name"), F.col("country_code").alias("near_country"))
     parts = None
