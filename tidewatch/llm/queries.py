@@ -147,6 +147,8 @@ s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v::DOUBLE[], b.v::DO
   WHERE list_cosine_similarity(a.v::DOUBLE[], b.v::DOUBLE[]) >= 0.9)"""
 
 SQL = {
+    "p5_found": f"""WITH {_VECTORS}, k AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY sim DESC, b) AS k FROM s)
+SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM k WHERE k <= 5""",
     "p6_found": f"WITH {_PAIRS} SELECT x AS source_entity_id, y AS target_entity_id FROM p WHERE lift >= 3",
     "p6_edges": f"""WITH {_PAIRS} SELECT x AS source_entity_id, y AS target_entity_id, c AS co_occurrences, round(lift, 6) AS lift,
   round(CASE WHEN c >= total THEN CASE WHEN lift >= 1 THEN 1.0 ELSE 0.0 END
