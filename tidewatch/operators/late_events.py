@@ -19,6 +19,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 US = 1_000_000
 HOUR_US = 3600 * US
 
@@ -95,8 +97,10 @@ def corrected_periods(counts: DataFrame, keys: list[str], lateness: Lateness) ->
     """The state after every period with an accepted record, late ones included.
 
     Columns: keys, ``period``, ``count``, ``n_periods``, ``running``, ``sum_sq``,
-    ``last_period`` and ``replayed`` (whether the output replaces one of the on-time pass).
+    ``last_period`` and ``replayed`` (whether the output replaces one of the on-time pass). The counts, which are
+    small against the records, are materialised: the passes look at them several times.
     """
+    counts = cut_lineage(counts)
     step = lateness.period_us * lateness.checkpoint_periods
     block = F.floor(F.col("period") / step).cast("bigint")
     seen = counts.where("on_time + late > 0").withColumn("block", block)
@@ -136,7 +140,7 @@ def stale_records(observations: DataFrame, alerts: DataFrame, baselines: DataFra
     """
     keys = ["category", "grid_cell"]
     # Hours of the same key and day range as an alert or baseline are the only ones of use.
-    hours = hourly_counts(observations, lateness).select(*keys, "period", "count")
+    hours = cut_lineage(hourly_counts(observations, lateness).select(*keys, "period", "count"))
     asked = alerts.select("id", *keys, F.unix_micros("bucket_at").alias("period"), "observed").distinct()
     alert = (
         asked.join(hours, [*keys, "period"], "left")
