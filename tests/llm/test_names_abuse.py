@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +49,14 @@ def test_repeated_rows_and_empty_table(spark):
     assert [tuple(r) for r in variants.pairs_of_sets(variants.variant_sets(df, "id", "name"), "id", "x", "y").collect()] == [("a", "b")]
 
 
+def test_a_misspelling_may_be_frequent(spark):
+    words = [hashlib.md5(str(i).encode()).hexdigest()[:14].translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(500)]
+    got = sets(spark, [f"Joseph {w}" for w in words] + [f"Jsoeph {w}" for w in words[:50]])
+    assert got == sorted([f"Joseph {w}", f"Jsoeph {w}"] for w in words[:50])
+    # Words that are about as frequent are different words.
+    assert sets(spark, [f"Mario {w}" for w in words[::50]] + [f"Maria {w}" for w in words[::50]]) == []
+
+
 def test_components_of_long_chains(spark):
     links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(70)] + [("x", "y")], "a string, b string")
     got = {r["node"]: r["set"] for r in variants.components(links, "a", "b").collect()}

@@ -4,8 +4,8 @@
    and short forms of given names are normalised.
 2. A prefix-filtered set-similarity join on the q-grams of the distinct tokens finds misspelt tokens:
    the rarest q-grams of a token are looked up, as many as two edits can destroy and one more, so
-   no token within two edits is missed; the edit distance confirms. A rare token stands for its
-   most frequent neighbour.
+   no token within two edits is missed; the edit distance confirms. A token stands for its most
+   frequent neighbour if that is so many times as frequent, or if the token is too rare to tell.
 3. Names are compared with those that hold one of their heaviest words, the ones that the similarity can't do
    without (again a prefix filter). The soft similarity weighs tokens by rarity, and takes an
    initial, a cut-off word or an acronym for the words it may stand for.
@@ -31,7 +31,9 @@ THRESHOLD = 0.80
 CLOSER = 0.01
 #: Tokens shorter than this are never taken for misspelt.
 SHORTEST = 5
-#: Occurrences up to which a token may be a misspelling of another, by one edit and by two.
+#: How many times as frequent as its misspelling a word is, for every edit. The share of a misspelling doesn't change with the size of the table.
+RATIO = 10
+#: Occurrences, of one edit and of two, that are too few for a ratio: any neighbour that isn't rarer will do.
 RARE, RAREST = 3, 1
 #: Letters from which two edits are possible.
 LONG = 8
@@ -133,20 +135,20 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
 
 
 def _similar_tokens(tokens: DataFrame) -> DataFrame:
-    """(token, stands_for): rare tokens and the more frequent ones within one edit, from (token, n)."""
+    """(token, stands_for): misspelt tokens and the more frequent ones that are meant, from (token, n)."""
     words = tokens.where(F.length("token") >= SHORTEST).where(~F.col("token").rlike("[.!]$"))
     split = F.pandas_udf(lambda column: column.map(grams), "array<string>")
     exploded = cut_lineage(words.select("token", "n", F.explode(split("token")).alias("gram")))
     frequency = exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("f"))
     order = Window.partitionBy("token").orderBy("f", "gram")
     prefix = cut_lineage(exploded.join(frequency, "gram").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PREFIX_GRAMS).select("token", "n", "gram"))
-    rare = prefix.where(F.col("n") <= RARE)
     other = prefix.select("gram", F.col("token").alias("stands_for"), F.col("n").alias("m"))
     more = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("stands_for") < F.col("token")))
-    twice = (F.col("n") <= RAREST) & (F.length("token") >= LONG)
-    most = F.when(twice, 2).otherwise(1)
+    twice = ((F.col("n") <= RAREST) | (F.col("m") >= RATIO**2 * F.col("n"))) & (F.length("token") >= LONG)
+    once = (F.col("n") <= RARE) | (F.col("m") >= RATIO * F.col("n"))
+    most = F.when(twice, 2).when(once, 1)
     near = F.abs(F.length("token") - F.length("stands_for")) <= most
-    pairs = rare.join(other, "gram").where(more & near).select("token", "stands_for", "m", most.alias("most")).distinct()
+    pairs = prefix.join(other, "gram").where(more & near).select("token", "stands_for", "m", most.alias("most")).distinct()
     # A swap is two edits to levenshtein.
     pairs = pairs.where(F.levenshtein("token", "stands_for", 4).between(0, 2 * F.col("most")))
     distance = F.pandas_udf(lambda a, b: pd.Series([edits(x, y, 2) for x, y in zip(a, b)], dtype="int32"), "int")
