@@ -4,6 +4,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import catalogue
 from tidewatch.operators import anomaly, classify, entities, events, gazetteer, rules
 from tidewatch.operators.skew import join_hot_cold
 from tidewatch.plans import reads
@@ -117,6 +118,18 @@ def test_matching_and_online_clusters_agree(spark):
     assert sorted(match) == ["o0", "o1", "o4", "o7"] and match["o4"] == pytest.approx(0.95) and match["o7"] == pytest.approx(0.8)
 
 
+OBSERVATIONS = "id string, source_id string, external_id string, title string, body string, occurred_at timestamp, ingested_at timestamp, lat double, lon double, geo_precision string, place_name string, country_code string, grid_cell string, category string, category_confidence double, severity smallint, confidence smallint, magnitude double, tone double, report_count int"
+
+
+def test_online_query_weighs_events_of_other_countries(spark, tmp_path):
+    obs = [observation(i, i, None, country=c, lat=lat) for i, (c, lat) in enumerate([("AA", 10.0), ("BB", 10.0), (None, None), ("AA", 10.0)])] + [observation(4, 500, None)]
+    names = [p.split(" ")[0] for p in OBSERVATIONS.split(", ")]
+    spark.createDataFrame([tuple({**o, "ingested_at": T0}.get(n) for n in names) for o in obs], OBSERVATIONS).write.parquet(f"{tmp_path}/observations.parquet")
+    vectors = [[1.0, 0.0], [1.0, 0.1], [1.0, 0.0], [0.0, 1.0], [1.0, 0.0]]
+    spark.createDataFrame([(f"o{i}", v) for i, v in enumerate(vectors)], "observation_id string, embedding array<float>").write.parquet(f"{tmp_path}/enrichments.parquet")
+    assert {r["event_id"]: r["members"] for r in catalogue.online_clusters(spark, str(tmp_path)).collect()} == {"o0": 3, "o3": 1, "o4": 1}
+
+
 def test_recompute_and_titles(spark):
     obs = [observation(0, 0, None, body=" ", severity=90, title="x" * 10), observation(1, 1, None, body="A long report.", country="BB", title="A title that is certainly long enough for everyone"), observation(2, 2, None, country="BB", source_id="t", category="health", category_confidence=2.0)]
     df = spark.createDataFrame(obs, OBS)

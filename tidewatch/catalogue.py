@@ -537,7 +537,7 @@ def entity_extract(spark, d):
 
 @query()
 def online_clusters(spark, d):
-    """Events by sequential assignment of the enriched observations, a sequence per country."""
+    """Events by sequential assignment of all enriched observations."""
     vectors = load(spark, d, "enrichments").groupBy(F.col("observation_id").alias("id")).agg(F.min("embedding").alias("embedding"))
     o = _observations(spark, d).join(vectors, "id")
-    return events.cluster_online(o, ["country_code"]).groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))
+    return events.cluster_online(o).groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))

@@ -13,6 +13,8 @@ from ..functions.vector import cosine
 from ..model import MATCH_COSINE, MATCH_FREE_H, MATCH_MAX_GAP_H, MATCH_OTHER_CATEGORY, MATCH_TIME_DECAY, MEMBER_WEIGHT, PRECISION_RADIUS_KM, lookup
 
 _COARSE = ["country", "unknown"]
+#: Observations of a sequence after which the events that nothing can join are dropped.
+FORGET_EVERY = 1_000
 
 
 def time_factor(gap_h: Column) -> Column:
@@ -61,6 +63,10 @@ def _haversine(a: np.ndarray, o: np.ndarray, lat: float, lon: float) -> np.ndarr
     return 2 * 6371.0088 * np.arcsin(np.minimum(1, np.sqrt(h)))
 
 
+def _micros(at) -> int:
+    return pd.Timestamp(at).as_unit("ns").value // 1000
+
+
 class OnlineClusters:
     """Sequential assignment of observations to live events; state survives between batches."""
 
@@ -68,24 +74,51 @@ class OnlineClusters:
         self.threshold, self.candidates = threshold, candidates
         self.ids: list[str] = []
         self.rows: list[dict] = []
+        #: By width: the vectors of the events, their lengths, last times and places in ``rows``; ``indexed`` rows are there.
+        self.vectors: dict[int, dict] = {}
+        self.indexed = 0
+
+    def forget(self, at) -> None:
+        """Drops the events that nothing from ``at`` on can join."""
+        alive = [i for i, e in enumerate(self.rows) if (at - e["last"]).total_seconds() <= MATCH_MAX_GAP_H * 3600]
+        self.ids, self.rows = [self.ids[i] for i in alive], [self.rows[i] for i in alive]
+        self.vectors, self.indexed = {}, 0
+
+    def _index(self) -> None:
+        for i in range(self.indexed, len(self.rows)):
+            total = self.rows[i]["sum"]
+            if total is None:
+                continue
+            held = self.vectors.setdefault(len(total), {"n": 0, "sums": np.zeros((64, len(total))), "norms": np.zeros(64), "last": np.zeros(64, np.int64), "row": np.zeros(64, np.int64)})
+            if held["n"] == len(held["row"]):
+                held.update({k: np.concatenate([v, np.zeros_like(v)]) for k, v in held.items() if k != "n"})
+            self.rows[i]["at"] = held["n"]
+            held["row"][held["n"]] = i
+            held["n"] += 1
+            self._update(held, self.rows[i])
+        self.indexed = len(self.rows)
+
+    def _update(self, held: dict, event: dict) -> None:
+        j = event["at"]
+        held["sums"][j], held["norms"][j], held["last"][j] = event["sum"], np.linalg.norm(event["sum"]), _micros(event["last"])
 
     def assign(self, row: dict) -> tuple[str, float, bool]:
         """(event id, similarity, whether the event is new). Without a vector always a new event."""
         at, vector = row["occurred_at"], row.get("embedding")
-        alive = [i for i, e in enumerate(self.rows) if abs((at - e["last"]).total_seconds()) <= MATCH_MAX_GAP_H * 3600]
+        self._index()
         if vector is not None and len(vector):
             v = np.asarray(vector, float)
             length = np.linalg.norm(v)
-            usable = [i for i in alive if self.rows[i]["sum"] is not None and len(self.rows[i]["sum"]) == len(v)]
-            if usable and length > 0:
-                sums = np.array([self.rows[i]["sum"] for i in usable])
-                norms = np.linalg.norm(sums, axis=1)
-                sims = np.divide(sums @ v, norms * length, out=np.zeros(len(usable)), where=norms > 0)
+            held = self.vectors.get(len(v))
+            if held and length > 0:
+                n = held["n"]
+                norms = held["norms"][:n] * length
+                sims = np.divide(held["sums"][:n] @ v, norms, out=np.zeros(n), where=norms > 0)
+                near = np.flatnonzero((sims >= self.threshold) & (np.abs(held["last"][:n] - _micros(at)) <= MATCH_MAX_GAP_H * 3_600_000_000))
+                usable, sims = held["row"][near].tolist(), sims[near]
                 best, best_score, best_sim = None, -1.0, 0.0
                 for j in np.lexsort(([self.ids[i] for i in usable], -sims))[: self.candidates]:
                     sim = float(sims[j])
-                    if sim < self.threshold:
-                        break
                     adjusted = sim * self._factors(row, self.rows[usable[j]])
                     if adjusted >= self.threshold and adjusted > best_score:
                         best, best_score, best_sim = usable[j], adjusted, sim
@@ -94,6 +127,7 @@ class OnlineClusters:
                     event["sum"] = event["sum"] + v
                     event["n"] += 1
                     event["last"] = max(event["last"], at)
+                    self._update(held, event)
                     return self.ids[best], best_sim, False
         self.ids.append(row["id"])
         self.rows.append({**{k: row.get(k) for k in ("category", "lat", "lon", "geo_precision", "country_code")}, "sum": None if vector is None else np.asarray(vector, float), "n": 1, "last": at})
@@ -119,22 +153,36 @@ class OnlineClusters:
 def cluster_online(observations: DataFrame, block: list[str] | None = None) -> DataFrame:
     """(observation_id, event_id, similarity) by sequential assignment in order of (occurred_at, id).
 
-    The order of arrival decides, so a sequence can't be split; ``block`` names columns (a country, a
-    category group) within which sequences are independent and run in parallel. Without it there is one
-    sequence, which suits one day's reports, not an archive. An event's id is that of its first observation.
+    The order of arrival decides, so a sequence is split only where nothing can reach across, at days without rows that
+    are more than the largest gap. Within it one task reads the rows in their order and holds no more than the events that
+    are still alive. ``block`` names columns within which sequences are told to be independent; matches between blocks are
+    lost then. An event's id is that of its first observation.
     """
     columns = ["id", "embedding", "category", "lat", "lon", "geo_precision", "country_code", "occurred_at"]
     keys = block or []
     rows = observations.select(*dict.fromkeys([*columns, *keys])).where("id is not null and occurred_at is not null").dropDuplicates(["id"])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters = OnlineClusters()
-        ordered = pdf.sort_values(["occurred_at", "id"])
-        out = [(r["id"], *clusters.assign(r)[:2]) for r in ordered.astype(object).where(ordered.notna(), None).to_dict("records")]
-        return pd.DataFrame(out, columns=["observation_id", "event_id", "similarity"])
-
-    grouped = rows.groupBy(*keys) if keys else rows.withColumn("__all", F.lit(1)).groupBy("__all")
-    return grouped.applyInPandas(run, "observation_id string, event_id string, similarity double")
+    rows = rows.withColumn("__day", F.floor(F.unix_seconds("occurred_at") / 86_400))
+    along = Window.orderBy("__day")
+    apart = F.col("__day") - F.lag("__day").over(along) > -(-MATCH_MAX_GAP_H // 24)
+    # One row a day that has any.
+    days = rows.select("__day").distinct().withColumn("__new", F.coalesce(apart, F.lit(False)).cast("int")).withColumn("__sequence", F.sum("__new").over(along)).select("__day", "__sequence")
+    sequences = rows.join(F.broadcast(days), "__day").select(*columns, F.to_json(F.struct(*keys, "__sequence")).alias("__key"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, clusters, seen = None, OnlineClusters(), 0
+        for batch in batches:
+            out = []
+            for r in batch.astype(object).where(batch.notna(), None).to_dict("records"):
+                if r["__key"] != key:
+                    key, clusters, seen = r["__key"], OnlineClusters(), 0
+                seen += 1
+                if seen % FORGET_EVERY == 0:
+                    clusters.forget(r["occurred_at"])
+                out.append((r["id"], *clusters.assign(r)[:2]))
+            yield pd.DataFrame(out, columns=["observation_id", "event_id", "similarity"])
+
+    ordered = sequences.repartition("__key").sortWithinPartitions("__key", "occurred_at", "id")
+    return ordered.mapInPandas(run, "observation_id string, event_id string, similarity double")
 
 
 def recompute(links: DataFrame, observations: DataFrame, now: Column) -> DataFrame:
