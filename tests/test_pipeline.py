@@ -130,6 +130,17 @@ def test_online_query_weighs_events_of_other_countries(spark, tmp_path):
     assert {r["event_id"]: r["members"] for r in catalogue.online_clusters(spark, str(tmp_path)).collect()} == {"o0": 3, "o3": 1, "o4": 1}
 
 
+def test_match_query_has_the_default_threshold_and_factors(spark, tmp_path):
+    at = lambda angle: [math.cos(angle), math.sin(angle)]
+    cases = [("a", at(0), 10.0, "AA", 0), ("b", at(0.9), 10.0, "AA", 1), ("c", at(-0.9), 10.0, "BB", 1), ("d", at(0), 10.0, "AA", 100), ("e", [math.nan, 1.0], 10.0, "AA", 1), ("f", [0.0, 0.0], 10.0, "AA", 1), ("g", at(2.5), 95.0, "AA", 2), ("h", at(2.6), -10.0, "AA", 2)]
+    rows = [(i, v, "seismic", lat, 10.0, "city", c, T0 + timedelta(hours=h), T0 + timedelta(hours=h)) for i, v, lat, c, h in cases]
+    schema = "id string, centroid array<float>, category string, lat double, lon double, geo_precision string, country_code string, first_seen_at timestamp, last_seen_at timestamp"
+    spark.createDataFrame(rows + rows[:1], schema).write.parquet(f"{tmp_path}/event_clusters.parquet")
+    got = {r["subject_id"]: (r["event_id"], r["adjusted"]) for r in catalogue.best_event_match(spark, str(tmp_path)).collect()}
+    cos = math.cos(0.9)
+    assert {k: v[0] for k, v in got.items()} == {"a": "b", "b": "a", "g": "h", "h": "g"} and got["a"][1] == pytest.approx(cos, abs=1e-5) and got["g"][1] == pytest.approx(0.85 * math.cos(0.1), abs=1e-5)
+
+
 def test_recompute_and_titles(spark):
     obs = [observation(0, 0, None, body=" ", severity=90, title="x" * 10), observation(1, 1, None, body="A long report.", country="BB", title="A title that is certainly long enough for everyone"), observation(2, 2, None, country="BB", source_id="t", category="health", category_confidence=2.0)]
     df = spark.createDataFrame(obs, OBS)

@@ -499,7 +499,7 @@ b AS (SELECT s.id AS s, t.id AS e, list_cosine_similarity(s.c, t.c) AS sim, abs(
 SELECT s AS subject_id, e AS event_id, round(sim, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY sim DESC, e) AS k FROM b WHERE sim >= 0.8) WHERE k = 1"""
 )
 def best_static_match(spark, d):
-    """Nearest other event in time and meaning; the places of both are left out, so that only the vector and time gates decide."""
+    """Nearest other event in time and meaning at cosine 0.8 and more; places, categories and time decay are left out (see best_event_match)."""
     usable = _events(spark, d).where((F.size("centroid") == 64) & ~F.exists("centroid", lambda x: F.isnan(x)) & F.exists("centroid", lambda x: x != 0))
     s = usable.select(F.col("id").alias("s"), F.col("centroid").alias("a"), F.col("first_seen_at").alias("t"), F.floor(F.unix_seconds("first_seen_at") / 86_400).alias("day"))
     e = usable.select(F.col("id").alias("e"), F.col("centroid").alias("b"), F.col("last_seen_at").alias("u"), F.floor(F.unix_seconds("last_seen_at") / 86_400).alias("at"))
@@ -541,3 +541,15 @@ def online_clusters(spark, d):
     vectors = load(spark, d, "enrichments").groupBy(F.col("observation_id").alias("id")).agg(F.min("embedding").alias("embedding"))
     o = _observations(spark, d).join(vectors, "id")
     return events.cluster_online(o).groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))
+
+
+@query()
+def best_event_match(spark, d):
+    """Best other event of every event by match_candidates, with its threshold and all its factors; impossible coordinates are no location."""
+    columns = ["id", "centroid", "category", "lat", "lon", "geo_precision", "country_code"]
+    e = _events(spark, d)
+    located = (F.abs("lat") <= 90) & (F.abs("lon") <= 360) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
+    e = e.withColumns({c: F.when(located, F.col(c)) for c in ("lat", "lon")})
+    subjects = e.select(*columns, F.col("first_seen_at").alias("occurred_at")).withColumnRenamed("centroid", "embedding")
+    best = events.match_candidates(subjects, e.select(*columns, "last_seen_at"), others=True)
+    return best.select("subject_id", "event_id", F.round("similarity", 6).alias("similarity"), F.round("adjusted", 6).alias("adjusted"))

@@ -29,26 +29,55 @@ def spatial_factor(a: str, b: str) -> Column:
     either_coarse = c(a, "geo_precision").isin(_COARSE) | c(b, "geo_precision").isin(_COARSE)
     same_country = c(a, "country_code") == c(b, "country_code")
     located = c(a, "lat").isNotNull() & c(a, "lon").isNotNull() & c(b, "lat").isNotNull() & c(b, "lon").isNotNull()
+    # Impossible coordinates give no distance.
     mismatch = F.when(F.coalesce(c(a, "country_code") != c(b, "country_code"), F.lit(False)), 0.7).otherwise(1.0)
     km = geo.haversine_km(c(a, "lat"), c(a, "lon"), c(b, "lat"), c(b, "lon"))
     budget = sum((lookup(c(s, "geo_precision"), PRECISION_RADIUS_KM, 2000.0) for s in (a, b)), F.lit(0.0))
     beyond = F.pow(budget / km, F.lit(1.5))
-    return F.when(either_coarse & F.coalesce(same_country, F.lit(False)), 0.95).when(~located, 0.85).when(km <= budget, mismatch).otherwise(beyond * mismatch)
+    return F.when(either_coarse & F.coalesce(same_country, F.lit(False)), 0.95).when(~located | F.isnan(km), 0.85).when(km <= budget, mismatch).otherwise(beyond * mismatch)
 
 
-def match_candidates(subjects: DataFrame, events: DataFrame, threshold: float = MATCH_COSINE, candidates: int = 20) -> DataFrame:
+def match_candidates(subjects: DataFrame, events: DataFrame, threshold: float = MATCH_COSINE, candidates: int = 20, others: bool = False) -> DataFrame:
     """Best event of every subject: subject_id, event_id, similarity, adjusted.
 
     ``subjects``: id, embedding, category, lat, lon, geo_precision, country_code, occurred_at. ``events``:
     id, centroid, category, lat, lon, geo_precision, country_code, last_seen_at. Candidates are at most the largest
-    gap away in time, so both sides meet in day buckets; of those the ``candidates`` most similar are weighed.
+    gap away in time, so both sides meet in day buckets; of those the ``candidates`` most similar are weighed. Products of
+    matrices find them, the cosine confirms. Vectors that are null, all zero or not finite match nothing.
+    ``others``: an event of the subject's own id is none of its candidates.
     """
     days = int(-(-MATCH_MAX_GAP_H // 24))
-    s = subjects.select(*[F.col(c).alias(f"s_{c}") for c in subjects.columns]).withColumn("day", F.floor(F.unix_seconds("s_occurred_at") / 86_400))
-    e = events.select(*[F.col(c).alias(f"e_{c}") for c in events.columns]).withColumn("at", F.floor(F.unix_seconds("e_last_seen_at") / 86_400))
-    e = e.withColumn("day", F.explode(F.sequence(F.col("at") - days, F.col("at") + days)))
-    both = s.join(e, "day").withColumn("gap", hours_between(F.col("s_occurred_at"), F.col("e_last_seen_at"))).where(F.col("gap") <= MATCH_MAX_GAP_H)
-    both = both.where(F.size("s_embedding") == F.size("e_centroid")).withColumn("similarity", cosine(F.col("s_embedding"), F.col("e_centroid"))).where(F.col("similarity") >= threshold)
+    s = subjects.select(*[F.col(c).alias(f"s_{c}") for c in subjects.columns])
+    e = events.select(*[F.col(c).alias(f"e_{c}") for c in events.columns])
+    side = lambda df, p, v, t: df.where(f"{v} is not null and {t} is not null").select(f"{p}_id", F.col(v).alias("v"), F.col(t).alias("t"), F.size(v).alias("width"), F.floor(F.unix_seconds(t) / 86_400).alias("day"))
+    left = side(s, "s", "s_embedding", "s_occurred_at")
+    right = side(e, "e", "e_centroid", "e_last_seen_at").withColumn("day", F.explode(F.sequence(F.col("day") - days, F.col("day") + days)))
+
+    def unit(vectors: pd.Series) -> np.ndarray:
+        v = np.array([np.asarray(x, float) for x in vectors])
+        n = np.linalg.norm(v, axis=1, keepdims=True)
+        return np.divide(v, n, out=np.zeros_like(v), where=np.isfinite(n) & (n > 0))
+
+    def near(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"s_id": [], "e_id": []}, dtype=object)]
+        if len(a) and len(b) and a["width"].iloc[0]:
+            x, y = unit(a["v"]), unit(b["v"])
+            micros = lambda t: t.to_numpy("datetime64[us]").astype("int64")
+            t, u = micros(a["t"]), micros(b["t"])
+            for k in range(0, len(a), 512):
+                sims = x[k : k + 512] @ y.T
+                sims[np.abs(t[k : k + 512, None] - u) > MATCH_MAX_GAP_H * 3_600_000_000] = -2.0
+                if others:
+                    sims[a["s_id"].to_numpy()[k : k + 512, None] == b["e_id"].to_numpy()] = -2.0
+                # Equal similarities at the last place are all kept; the slack is for rounding.
+                last = np.partition(sims, -candidates, axis=1)[:, -candidates] if sims.shape[1] > candidates else np.full(len(sims), -2.0)
+                i, j = np.nonzero(sims >= np.maximum(last, threshold)[:, None] - 1e-6)
+                out.append(pd.DataFrame({"s_id": a["s_id"].to_numpy()[i + k], "e_id": b["e_id"].to_numpy()[j]}))
+        return pd.concat(out)
+
+    pairs = left.groupBy("day", "width").cogroup(right.groupBy("day", "width")).applyInPandas(near, "s_id string, e_id string")
+    both = pairs.distinct().join(s, "s_id").join(e, "e_id").withColumn("gap", hours_between(F.col("s_occurred_at"), F.col("e_last_seen_at"))).where(F.col("gap") <= MATCH_MAX_GAP_H)
+    both = both.withColumn("similarity", cosine(F.col("s_embedding"), F.col("e_centroid"))).where(F.col("similarity") >= threshold)
     nearest = Window.partitionBy("s_id").orderBy(F.desc("similarity"), "e_id")
     both = both.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= candidates)
     category = F.when(F.col("s_category") == F.col("e_category"), 1.0).otherwise(MATCH_OTHER_CATEGORY)
