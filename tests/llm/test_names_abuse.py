@@ -79,6 +79,13 @@ def test_typed_places(spark, places):
     assert {(v, c): got[v, c] for v, c, _ in cases} == {(v, c): g for v, c, g in cases} and not any(v is None or not v.strip() for v, _ in got)
 
 
+def test_a_typo_may_change_the_order_of_words(spark):
+    assert canonical.name_edits("skranga south", "south sukranga", 2) == 1 and canonical.name_edits("a b c", "x y z", 2) == 3 and canonical.name_edits("ab", "ab", 2) == 0
+    listed = spark.createDataFrame([(1, "South Sukranga", "South Sukranga", None, "QW", "Q"), (2, "Velmora", "Velmora", None, "QW", "Q"), (3, "South Pelomir", "South Pelomir", None, "QW", "Q")], PLACES)
+    typed = spark.createDataFrame([("South Skranga", "QW"), ("South Skranga", None)], "value string, country_code string")
+    assert [r["geoname_id"] for r in canonical.map_places(typed, listed).collect()] == [1, 1]
+
+
 def test_places_edge_tables(spark, places):
     df = spark.createDataFrame([("Vesarto", None)], "value string, country_code string")
     assert [r["geoname_id"] for r in canonical.map_places(df, places.limit(0)).collect()] == [0]

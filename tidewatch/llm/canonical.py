@@ -4,7 +4,7 @@ Distinct values are normalised (accents, case, joined and reordered words, abbre
 that only describe a place, the country) and looked up in an inverted index of character n-grams
 over the names of the list. The score is the cosine of the n-gram vectors weighted by inverse
 document frequency; a value is accepted if its best name scores above a threshold, ahead of the next name by a margin,
-and the exact edit distance confirms it. Entries that share a name are told apart by the country.
+and the edits between their words, each with the one it fits best, confirm it. Entries that share a name are told apart by the country.
 
 Only n-grams that matter are looked up: those of a value, rarest first, until what is left can't
 reach the threshold by itself (prefix filter), so no candidate above the threshold is lost.
@@ -13,7 +13,9 @@ reach the threshold by itself (prefix filter), so no candidate above the thresho
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -75,6 +77,17 @@ def parse_place(value: str, countries: dict[str, str]) -> tuple[list[str], str |
     return list(dict.fromkeys(" ".join(sorted(r)) for r in readings if r)), country
 
 
+def name_edits(a: str, b: str, most: int) -> int:
+    """Edits between two names, their words in any order; more than ``most`` counts as most + 1."""
+    least = edits(a, b, most)
+    mine, others = Counter(a.split()), Counter(b.split())
+    # Equal words belong together. Each of the rest costs an edit at least, so there are few.
+    left, right = list((mine - others).elements()), list((others - mine).elements())
+    if least <= 1 or len(left) != len(right) or len(left) > most:
+        return least
+    return min(least, *(min(most + 1, sum(edits(x, y, most) for x, y in zip(left, order))) for order in permutations(right)))
+
+
 def _name_table(entries: DataFrame) -> DataFrame:
     """``name`` (normalised), ``id`` and ``country`` of every name of every entry."""
 
@@ -140,7 +153,7 @@ def map_places(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
     looked_up = asked.where(F.col("tail") >= threshold).select("name", "gram")
     index = cut_lineage(vectors.select(F.col("name").alias("found"), "gram", F.col("w").alias("v")))
     candidates = looked_up.join(index.select("found", "gram"), "gram").select("name", "found").distinct()
-    candidates = candidates.where(F.levenshtein("name", "found", 2 * MOST_EDITS) >= 0)
+    candidates = candidates.where(F.abs(F.length("name") - F.length("found")) <= MOST_EDITS)
     named = listed.withColumnRenamed("name", "found")
     candidates = candidates.join(open_names, "name").join(named, "found").where(here)
     own = asked.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("grams"))
@@ -150,7 +163,7 @@ def map_places(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
 
     @F.pandas_udf("int")
     def distance(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([edits(x, y, MOST_EDITS) for x, y in zip(a, b)], dtype="int32")
+        return pd.Series([name_edits(x, y, MOST_EDITS) for x, y in zip(a, b)], dtype="int32")
 
     allowed = F.when(F.length("found") <= SHORT, 1).otherwise(MOST_EDITS)
     close = scored.where(distance("name", "found") <= allowed).select("name", "country", "found", "score", "entries")
