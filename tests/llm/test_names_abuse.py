@@ -1,11 +1,16 @@
 import hashlib
+import sys
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidewatch.llm import abuse, canonical, variants
-from tidewatch.llm.names_text import edits, fold, grams, split_joined
+
+sys.path.insert(0, str(Path(__file__).parent))
+import held_out  # noqa: E402
+from tidewatch.llm.names_text import edits, fold, grams, split_joined  # noqa: E402
 
 PLACES = "geoname_id bigint, name string, asciiname string, alternatenames string, country_code string, country_name string"
 
@@ -115,7 +120,33 @@ def test_abuse_is_found(text):
 
 @pytest.mark.parametrize("text", HARMLESS)
 def test_reports_and_plain_words_are_not(text):
-    assert abuse.score_text(text)[0] == 0
+    assert abuse.score_text(text)[0] < abuse.THRESHOLD
+
+
+@pytest.mark.parametrize("name", ["", "MORE_", "THIRD_", "LAST_"])
+def test_other_wordings(name):
+    """Sentences that aren't from the tables; recall and precision of 0.8 and more each."""
+    found = sum(abuse.score_text(s)[0] >= abuse.THRESHOLD for s in getattr(held_out, name + "ABUSIVE"))
+    wrong = sum(abuse.score_text(s)[0] >= abuse.THRESHOLD for s in getattr(held_out, name + "HARMLESS"))
+    assert found >= 0.8 * len(getattr(held_out, name + "ABUSIVE")) and found >= 0.8 * (found + wrong)
+
+
+def test_quotation_and_report_have_an_end():
+    """A lone mark quotes nothing, a report ends with its clause, and a report isn't an excuse for who is addressed."""
+    for text in ['5 "inch wide. You are an idiot.', "they removed my post, you worthless cretin", "that is a report that you are an idiot", 'He called it "fine"; you are a moron.']:
+        assert abuse.score_text(text)[0] >= abuse.THRESHOLD
+    for text in ['He wrote "you are an idiot" on a wall.', "The paper said that the man is an idiot.", "You are not an idiot.", "She never was a liar."]:
+        assert abuse.score_text(text)[0] < abuse.THRESHOLD
+
+
+def test_weights_add_up_along_the_composed_machine():
+    automaton = abuse.Automaton([("x", 0.25, "@a be? @b")], {"a": ["0.5 CAP", "-1 CAP not"], "b": ["0.25 INSULT", "0.5 ADJ* INSULT"]})
+    labels = lambda *words: [frozenset([w]) for w in words]
+    for symbols, weight in [(labels("CAP", "INSULT"), 1.25), (labels("CAP", "be", "ADJ", "ADJ", "INSULT"), 1.25), (labels("CAP", "not", "be", "INSULT"), -0.5)]:
+        state = 0
+        for symbol in symbols:
+            state = automaton.step(state, symbol)
+        assert dict(automaton.outputs[state])[0] == weight
 
 
 def test_documents_and_rates(spark):
