@@ -73,6 +73,7 @@ def pairs(rows, least, lift):
 def test_pair_counts_against_brute_force(spark, monkeypatch, wide):
     monkeypatch.setattr(cooccurrence, "WIDE", wide)
     monkeypatch.setattr(cooccurrence, "BLOCK", 8)
+    monkeypatch.setattr(cooccurrence, "RECORD_BLOCK", 100)
     rng = np.random.default_rng(4)
     rows = []
     for b in range(400):
@@ -96,3 +97,27 @@ def test_empty_baskets_and_association(spark):
     df = spark.createDataFrame([(f"b{i}", x) for i in range(4) for x in ("p", "q")] + [("b9", "z")], schema)
     (r,) = cooccurrence.npmi(cooccurrence.pair_counts(df, "o", "e", 2, 1.0)).collect()
     assert (r["item_a"], r["item_b"], r["together"], r["n_baskets"]) == ("p", "q", 4, 5) and abs(r["npmi"] - 1) < 1e-9
+
+
+@pytest.mark.parametrize("dense", [0, 1, 10**9])
+def test_tiles_are_the_gram_matrix(monkeypatch, dense):
+    """Both ways of multiplying a tile, with chunks of products that end within a row's entries."""
+    monkeypatch.setattr(cooccurrence, "DENSE", dense)
+    monkeypatch.setattr(cooccurrence, "CHUNK", 50 if dense < 10**9 else 10**6)
+    rng = np.random.default_rng(8)
+    codes = np.array([block * cooccurrence.BLOCK_CODES + c for block in range(3) for c in range(1, 20)])
+    baskets = [rng.choice(codes, rng.integers(1, 25), replace=False) for _ in range(200)]
+    x = np.array([np.isin(codes, b) for b in baskets], int)
+    got: dict = {}
+    for a, b, n in cooccurrence.RecordBlock(baskets).products():
+        for key in zip(a.tolist(), b.tolist(), n.tolist()):
+            got[key[:2]] = got.get(key[:2], 0) + key[2]
+    gram = x.T @ x
+    assert got == {(int(codes[i]), int(codes[j])): int(gram[i, j]) for i in range(len(codes)) for j in range(i + 1, len(codes)) if gram[i, j]}
+
+
+def test_counts_beyond_the_product_of_bigints(spark):
+    rows = [("a", "b", 5_000_000_000, 6_000_000_000, 7_000_000_000, 90_000_000_000), ("a", "c", 5_000_000_000, 6_000_000_000, 70_000_000_000, 90_000_000_000), ("a", "d", 4, 5, 5, 90_000_000_000)]
+    df = spark.createDataFrame(rows, "item_a string, item_b string, together bigint, n_a bigint, n_b bigint, n_baskets bigint")
+    got = {r["item_b"]: (r["lift"], r["npmi"]) for r in cooccurrence.npmi(cooccurrence.normalise(df, 5, 3.0)).collect()}
+    assert set(got) == {"b"} and abs(got["b"][0] - 5e9 * 9e10 / (6e9 * 7e9)) < 1e-9 and 0 < got["b"][1] < 1

@@ -1,11 +1,11 @@
 """Items that appear together: pair counts by a blocked Gram matrix, and lift over chance.
 
-Baskets are rows of a binary sparse matrix X whose columns are the items; the counts of all pairs
-are X'X. Every task holds a block of records, sums the transpose-products of its records over
-item blocks and emits each pair of its block once; Spark sums the partial counts. Baskets that are
-too wide for one row are cut into item blocks, whose products are taken block pair by block
-pair. Items that can't reach the thresholds (bounds that follow from the marginals alone) are
-removed first, which loses no pair.
+Baskets are rows of a binary sparse matrix X whose columns are the items; the counts of all pairs are
+X'X. Every task cuts its records into record blocks, holds each as compressed sparse rows that are split into item
+blocks X_I, and sums the transpose-products X_I'X_J tile by tile; a tile that is well filled is multiplied as a dense
+matrix, any other row by row. Spark adds the tiles of all record blocks and normalises the counts by
+the marginals. A basket that is too wide for one row is cut into item blocks beforehand and its products are spread over tasks.
+Items that can't reach the thresholds (bounds that follow from the marginals alone) are removed first, which loses no pair.
 """
 
 from __future__ import annotations
@@ -14,51 +14,101 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.skew import join_hot_cold
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 
-#: Columns of an item block.
+#: Columns of an item block; a tile has BLOCK x BLOCK counts. A code is block * BLOCK_CODES + column.
 BLOCK = 1024
+BLOCK_CODES = 1 << 24
 #: Items up to which a basket is one row; wider ones are taken block pair by block pair.
 WIDE = 2048
-#: Pairs that a task expands at a time.
-CHUNK = 2_000_000
+#: Entries of a record block, and pairs that are expanded at a time.
+RECORD_BLOCK, CHUNK = 1_000_000, 4_000_000
+#: A tile is multiplied as dense matrices if row by row it has more than 1/DENSE as many products.
+DENSE = 64
+
+
+class RecordBlock:
+    """Compressed sparse rows of some baskets, split into item blocks."""
+
+    def __init__(self, baskets: list[np.ndarray]):
+        self.n = len(baskets)
+        sizes = np.array([len(b) for b in baskets])
+        codes, rows = np.concatenate(baskets), np.repeat(np.arange(self.n), sizes)
+        order = np.lexsort((codes, rows, codes // BLOCK_CODES))
+        codes, rows = codes[order], rows[order]
+        self.blocks, starts = np.unique(codes // BLOCK_CODES, return_index=True)
+        #: By item block: the row pointer, the row of every entry, the columns that occur, and every entry's place among them.
+        self.parts = []
+        for lo, hi in zip(starts, [*starts[1:], len(codes)]):
+            columns, local = np.unique(codes[lo:hi], return_inverse=True)
+            self.parts.append((np.searchsorted(rows[lo:hi], np.arange(self.n + 1)), rows[lo:hi], columns, local))
+
+    def products(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(a, b, count) of every tile of the upper triangle of X'X, a < b."""
+        for i, left in enumerate(self.parts):
+            for j in range(i, len(self.parts)):
+                yield from self._tile(left, self.parts[j], i == j)
+
+    def _tile(self, left, right, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        pointer, _, names, second = right
+        _, rows, mine, first = left
+        partners = pointer[rows + 1] - pointer[rows]
+        total = int(partners.sum())
+        if not total:
+            return
+        shape = (len(mine), len(names))
+        cells = shape[0] * shape[1]
+        if total * DENSE > self.n * cells and self.n * max(shape) <= CHUNK:
+            x, y = np.zeros((self.n, shape[0]), np.float32), np.zeros((self.n, shape[1]), np.float32)
+            x[rows, first], y[right[1], second] = 1, 1
+            tile = (x.T @ y).ravel()
+            keys = np.flatnonzero(tile)
+            counts = tile[keys].astype(np.int64)
+        else:
+            found = []
+            ends = np.cumsum(partners)
+            at = 0
+            while at < len(rows):
+                # As many entries as CHUNK products allow, one at least.
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
+                n = partners[at:to]
+                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                key = np.repeat(first[at:to].astype(np.int64) * shape[1], n) + second[np.repeat(pointer[rows[at:to]], n) + offset]
+                if cells <= 4 * len(key):
+                    tile = np.bincount(key, minlength=cells)
+                    k = np.flatnonzero(tile)
+                    found.append((k, tile[k]))
+                else:
+                    found.append(np.unique(key, return_counts=True))
+                at = to
+            keys, counts = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+        a, b = mine[keys // shape[1]], names[keys % shape[1]]
+        keep = a < b if same else slice(None)
+        yield a[keep], b[keep], counts[keep]
 
 
 def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Upper triangle of X'X of every batch of baskets (``items``: sorted arrays)."""
+    """Upper triangle of X'X of the record blocks of a task (``items``: arrays of codes)."""
+    held: list[np.ndarray] = []
+    entries = 0
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for a, b, n in RecordBlock(held).products():
+            yield pd.DataFrame({"a": a, "b": b, "n": n})
+
     for batch in batches:
-        rows = batch["items"].to_numpy()
-        sizes = np.array([len(r) for r in rows])
-        if not len(sizes):
-            continue
-        flat = np.concatenate(rows)
-        names, codes = np.unique(flat, return_inverse=True)
-        width = np.int64(len(names))
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        pending: list[np.ndarray] = []
-        held = 0
-
-        def flush() -> pd.DataFrame:
-            keys, n = np.unique(np.concatenate(pending), return_counts=True)
-            return pd.DataFrame({"a": names[keys // width], "b": names[keys % width], "n": n})
-
-        for size in np.unique(sizes[sizes > 1]):
-            first, second = np.triu_indices(size, 1)
-            mine = starts[sizes == size]
-            step = max(1, CHUNK // len(first))
-            for at in range(0, len(mine), step):
-                block = codes[mine[at : at + step, None] + np.arange(size)].astype(np.int64)
-                pending.append((block[:, first] * width + block[:, second]).ravel())
-                held += len(pending[-1])
-                if held >= CHUNK:
-                    yield flush()
-                    pending, held = [], 0
-        if held:
-            yield flush()
+        for row in batch["items"]:
+            held.append(np.asarray(row, np.int64))
+            entries += len(row)
+            if entries >= RECORD_BLOCK:
+                yield from flush()
+                held, entries = [], 0
+    if held:
+        yield from flush()
 
 
 def _gram_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -70,46 +120,59 @@ def _gram_of_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "n": 1})
 
 
+def lift(together: str, n_a: str, n_b: str, n_baskets: str) -> Column:
+    """How many times as often as by chance; in floating point, so that counts of any size have a product."""
+    return F.col(together).cast("double") * F.col(n_baskets).cast("double") / (F.col(n_a).cast("double") * F.col(n_b).cast("double"))
+
+
+def normalise(counted: DataFrame, min_together: int, min_lift: float) -> DataFrame:
+    """Adds ``lift`` to (together, n_a, n_b, n_baskets) and keeps the pairs that reach both thresholds."""
+    double = lambda c: F.col(c).cast("double")
+    # A product on either side, exact below 2**53, so that a pair that just reaches the threshold isn't lost to a quotient.
+    reached = double("together") * double("n_baskets") >= min_lift * (double("n_a") * double("n_b"))
+    return counted.where(F.col("together") >= min_together).where(reached).withColumn("lift", lift("together", "n_a", "n_b", "n_baskets"))
+
+
 def pair_counts(links: DataFrame, basket: str, item: str, min_together: int, min_lift: float) -> DataFrame:
     """item_a < item_b (string order), ``together``, ``n_a``, ``n_b``, ``n_baskets`` and ``lift``.
 
     Only pairs with together >= min_together and lift = together * n_baskets / (n_a * n_b) >=
     min_lift. A basket counts an item once however often it is repeated; rows with a null basket or item
-    are ignored; n_baskets counts baskets with any item. An empty table gives no pairs.
+    are ignored; n_baskets counts baskets with any item. An empty table gives no pairs. Counts may be as large as a bigint holds.
     """
     facts = links.select(F.col(basket).alias("basket"), F.col(item).alias("item")).where("basket is not null and item is not null").distinct()
     facts = cut_lineage(facts)
-    n_baskets = facts.agg(F.count_distinct("basket")).first()[0]
+    widths = cut_lineage(facts.groupBy("basket").agg(F.count(F.lit(1)).alias("width")))
+    n_baskets = widths.count()
+    wide = widths.where(F.col("width") > WIDE).select("basket")
+    any_wide = not wide.isEmpty()
     marginals = facts.groupBy("item").agg(F.count(F.lit(1)).alias("n"))
     # together <= min(n_a, n_b), so lift <= n_baskets / max(n_a, n_b).
-    possible = marginals.where((F.col("n") >= min_together) & (F.col("n") * min_lift <= n_baskets))
+    possible = cut_lineage(marginals.where((F.col("n") >= min_together) & (F.col("n").cast("double") * min_lift <= float(n_baskets))))
     in_block = Window.partitionBy("block").orderBy("item")
     blocks = max(1, possible.count() // (BLOCK // 2))
     indexed = possible.withColumn("block", F.pmod(F.xxhash64("item"), F.lit(blocks)))
-    indexed = cut_lineage(indexed.withColumn("code", F.col("block") * (1 << 24) + F.row_number().over(in_block)).select("item", "n", "block", "code"))
+    indexed = cut_lineage(indexed.withColumn("code", F.col("block") * BLOCK_CODES + F.row_number().over(in_block)).select("item", "n", "block", "code"))
 
     coded = join_hot_cold(facts, indexed, "item", "n", ["code"]).select("basket", "code")
-    sizes = coded.groupBy("basket").agg(F.count(F.lit(1)).alias("width"))
-    wide = sizes.where(F.col("width") > WIDE).select("basket")
-    any_wide = not wide.isEmpty()
+    coded = cut_lineage(coded) if any_wide else coded
     ordinary = coded.join(wide, "basket", "left_anti") if any_wide else coded
-    rows = ordinary.groupBy("basket").agg(F.sort_array(F.collect_list("code")).alias("items")).where("size(items) > 1").select("items")
+    rows = ordinary.groupBy("basket").agg(F.collect_list("code").alias("items")).where("size(items) > 1").select("items")
     schema = "a bigint, b bigint, n bigint"
     gram = rows.mapInPandas(_gram, schema)
     if any_wide:
-        cut = coded.join(wide, "basket", "left_semi").groupBy("basket", F.shiftright("code", 24).alias("block")).agg(F.sort_array(F.collect_list("code")).alias("codes"))
+        cut = cut_lineage(coded.join(wide, "basket", "left_semi").groupBy("basket", F.floor(F.col("code") / BLOCK_CODES).alias("block")).agg(F.collect_list("code").alias("codes")))
         left = cut.select("basket", F.col("block").alias("i"), F.col("codes").alias("left"))
         right = cut.select("basket", F.col("block").alias("j"), F.col("codes").alias("right"))
-        tiles = left.join(right, "basket").where("i <= j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
+        tiles = left.join(right, "basket").where("i <= j").repartition(parallelism(links.sparkSession), "basket", "i", "j").select("left", "right", (F.col("i") == F.col("j")).alias("same"))
         gram = gram.unionByName(tiles.mapInPandas(_gram_of_blocks, schema))
     counted = gram.groupBy("a", "b").agg(F.sum("n").alias("together")).where(F.col("together") >= min_together)
 
     side = lambda s: indexed.select(F.col("code").alias(s), F.col("item").alias(f"item_{s}"), F.col("n").alias(f"n_{s}"))
-    named = counted.join(side("a"), "a").join(side("b"), "b").withColumn("n_baskets", F.lit(n_baskets))
-    named = named.withColumn("lift", F.col("together") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b")))
+    named = counted.join(side("a"), "a").join(side("b"), "b").withColumn("n_baskets", F.lit(n_baskets).cast("bigint"))
     swap = F.col("item_a") > F.col("item_b")
     pick = lambda x, y: F.when(swap, F.col(y)).otherwise(F.col(x))
-    return named.where(F.col("together") * F.col("n_baskets") >= min_lift * F.col("n_a") * F.col("n_b")).select(
+    return normalise(named, min_together, min_lift).select(
         pick("item_a", "item_b").alias("item_a"), pick("item_b", "item_a").alias("item_b"), "together", pick("n_a", "n_b").alias("n_a"), pick("n_b", "n_a").alias("n_b"), "n_baskets", "lift"
     )
 
