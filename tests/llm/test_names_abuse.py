@@ -58,6 +58,10 @@ def test_a_misspelling_may_be_frequent(spark):
     words = [hashlib.md5(str(i).encode()).hexdigest()[:14].translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(500)]
     got = sets(spark, [f"Joseph {w}" for w in words] + [f"Jsoeph {w}" for w in words[:50]])
     assert got == sorted([f"Joseph {w}", f"Jsoeph {w}"] for w in words[:50])
+    # A misspelling on 1, 4 or 40 ids is linked alike; what counts is the ratio, for long words less than for short ones.
+    some = [(f"Henry {words[0]}", f"Henry {words[0][:5]}{words[0][6:]}", 1), (f"Octavia {words[1]}", f"Octavia {words[1][:5]}{words[1][6:]}", 4), (f"Gregory {words[2]}", f"Gregory {words[2][:5]}{words[2][6:]}", 40)]
+    got = sets(spark, [n for right, wrong, n in some for n in [right] * (n + 5) + [wrong] * n])
+    assert got == sorted(sorted({right, wrong}) for right, wrong, _ in some)
     # Words that are about as frequent are different words.
     assert sets(spark, [f"Mario {w}" for w in words[::50]] + [f"Maria {w}" for w in words[::50]]) == []
 

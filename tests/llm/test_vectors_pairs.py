@@ -109,7 +109,7 @@ def test_tiles_are_the_gram_matrix(monkeypatch, dense):
     baskets = [rng.choice(codes, rng.integers(1, 25), replace=False) for _ in range(200)]
     x = np.array([np.isin(codes, b) for b in baskets], int)
     got: dict = {}
-    for a, b, n in cooccurrence.RecordBlock(baskets).products():
+    for a, b, n in cooccurrence.RecordBlock(np.concatenate(baskets), np.array([len(b) for b in baskets])).products():
         for key in zip(a.tolist(), b.tolist(), n.tolist()):
             got[key[:2]] = got.get(key[:2], 0) + key[2]
     gram = x.T @ x

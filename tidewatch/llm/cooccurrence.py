@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,13 +35,13 @@ DENSE = 64
 class RecordBlock:
     """Compressed sparse rows of some baskets, split into item blocks."""
 
-    def __init__(self, baskets: list[np.ndarray]):
-        self.n = len(baskets)
-        sizes = np.array([len(b) for b in baskets])
-        codes, rows = np.concatenate(baskets), np.repeat(np.arange(self.n), sizes)
-        order = np.lexsort((codes, rows, codes // BLOCK_CODES))
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray):
+        """``codes`` of all baskets one after the other, and the ``sizes`` of the baskets."""
+        self.n = len(sizes)
+        rows = np.repeat(np.arange(self.n), sizes)
+        order = np.argsort(codes // BLOCK_CODES * self.n + rows, kind="stable")
         codes, rows = codes[order], rows[order]
-        self.blocks, starts = np.unique(codes // BLOCK_CODES, return_index=True)
+        blocks, starts = np.unique(codes // BLOCK_CODES, return_index=True)
         #: By item block: the row pointer, the row of every entry, the columns that occur, and every entry's place among them.
         self.parts = []
         for lo, hi in zip(starts, [*starts[1:], len(codes)]):
@@ -91,23 +92,25 @@ class RecordBlock:
         yield a[keep], b[keep], counts[keep]
 
 
-def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Upper triangle of X'X of the record blocks of a task (``items``: arrays of codes)."""
-    held: list[np.ndarray] = []
+    codes: list[np.ndarray] = []
+    sizes: list[np.ndarray] = []
     entries = 0
 
-    def flush() -> Iterator[pd.DataFrame]:
-        for a, b, n in RecordBlock(held).products():
-            yield pd.DataFrame({"a": a, "b": b, "n": n})
+    def flush() -> Iterator[pa.RecordBatch]:
+        for a, b, n in RecordBlock(np.concatenate(codes), np.concatenate(sizes)).products():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], ["a", "b", "n"])
 
     for batch in batches:
-        for row in batch["items"]:
-            held.append(np.asarray(row, np.int64))
-            entries += len(row)
-            if entries >= RECORD_BLOCK:
-                yield from flush()
-                held, entries = [], 0
-    if held:
+        column = batch.column(0)
+        codes.append(column.flatten().to_numpy())
+        sizes.append(np.diff(column.offsets.to_numpy()))
+        entries += len(codes[-1])
+        if entries >= RECORD_BLOCK:
+            yield from flush()
+            codes, sizes, entries = [], [], 0
+    if entries:
         yield from flush()
 
 
@@ -159,7 +162,7 @@ def pair_counts(links: DataFrame, basket: str, item: str, min_together: int, min
     ordinary = coded.join(wide, "basket", "left_anti") if any_wide else coded
     rows = ordinary.groupBy("basket").agg(F.collect_list("code").alias("items")).where("size(items) > 1").select("items")
     schema = "a bigint, b bigint, n bigint"
-    gram = rows.mapInPandas(_gram, schema)
+    gram = rows.mapInArrow(_gram, schema)
     if any_wide:
         cut = cut_lineage(coded.join(wide, "basket", "left_semi").groupBy("basket", F.floor(F.col("code") / BLOCK_CODES).alias("block")).agg(F.collect_list("code").alias("codes")))
         left = cut.select("basket", F.col("block").alias("i"), F.col("codes").alias("left"))

@@ -5,16 +5,20 @@
 2. A prefix-filtered set-similarity join on the q-grams of the distinct tokens finds misspelt tokens:
    the rarest q-grams of a token are looked up, as many as two edits can destroy and one more, so
    no token within two edits is missed; the edit distance confirms. A token stands for its most
-   frequent neighbour if that is so many times as frequent, or if the token is too rare to tell.
-3. Names are compared with those that hold one of their heaviest words, the ones that the similarity can't do
-   without (again a prefix filter). The soft similarity weighs tokens by rarity, and takes an
-   initial, a cut-off word or an acronym for the words it may stand for.
+   frequent neighbour if that is so many times as frequent, by the length of the token.
+3. Names written out are compared with those that share their first two common words: by weight, a name can do without
+   so much before the first common word and so much before the second that the similarity stays in reach, which leaves few pairs of
+   words a name, on both sides (a prefix filter of two words; a word that makes up nearly all of a name is a key by itself). Names
+   with initials or acronyms, and very long ones, are looked up by their heaviest words among all words of the others; frequent words are split. The
+   soft similarity weighs tokens by rarity, and takes an initial, a cut-off word or an acronym for the words it may stand for.
 4. Links between names written out make the sets. A name that only initials or acronyms link is added to
    a set if there is just one that it can belong to.
 """
 
 from __future__ import annotations
 
+import functools
+import operator
 import re
 from collections.abc import Iterator
 
@@ -22,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.skew import join_hot_cold
 from ..session import cut_lineage
 from .names_text import edits, fold, grams, split_joined
 
@@ -31,18 +36,20 @@ THRESHOLD = 0.80
 CLOSER = 0.01
 #: Tokens shorter than this are never taken for misspelt.
 SHORTEST = 5
-#: How many times as frequent as its misspelling a word is, for every edit. The share of a misspelling doesn't change with the size of the table.
-RATIO = 10
-#: Occurrences, of one edit and of two, that are too few for a ratio: any neighbour that isn't rarer will do.
-RARE, RAREST = 3, 1
-#: Letters from which two edits are possible.
-LONG = 8
+#: How many times as frequent as its misspelling a word is at least, by edits and letters: the longer a word, the less likely is another
+#: one so near. A ratio doesn't change with the size of the table; there are no absolute counts.
+RATIOS = {1: ((8, 1), (6, 3), (SHORTEST, 10)), 2: ((10, 3), (8, 10))}
+#: Words up to which a name has keys of two words.
+MANY_WORDS = 12
+#: Pairs that one slice of a frequent word's posting list is joined to.
+SLICE = 2_000_000
 #: q-grams (q = 3) that two edits, swaps included, can destroy, and one more.
 PREFIX_GRAMS = 9
 
 # Titles and forms of address, legal forms and little words, which name nobody.
 TITLES = set("mr mrs ms miss sir dame dr prof professor gen general col colonel maj major capt captain lt sgt president minister senator sen governor gov ambassador amb judge rev hon chancellor mayor".split())
 EMPTY = set("the of and for de la ltd inc llc plc limited incorporated gmbh sa ag jr sr".split())
+_LITTLE = {word[0] for word in EMPTY if len(word) <= 3 and word.isalpha()} - {"i", "p", "j", "s", "g"}
 # Words that organisations abbreviate.
 WORDS = {
     "svc": "service", "svcs": "service", "serv": "service", "services": "service", "dept": "department", "dpt": "department", "auth": "authority", "cncl": "council", "coun": "council", "min": "ministry",
@@ -81,7 +88,8 @@ def tokens_of(name: str) -> list[str]:
             out.append(word + "!")
         elif len(word) == 1:
             out.append(word + ".")
-        elif word in WORDS and not (mark == "." and word in ("nat", "lib", "min") and len(re.findall(r"\w+", text)) <= 2):
+        elif word in WORDS and not (mark == "." and WORDS[word].startswith(word) and len(re.findall(r"\w+", text)) <= 2):
+            # In two words, a cut-off word may as well be a given name.
             out.append(WORDS[word])
         elif mark == ".":
             out.append(word + ".")
@@ -90,6 +98,17 @@ def tokens_of(name: str) -> list[str]:
     return out
 
 
+def spells(acronym: str, letters: str) -> bool:
+    """Whether an acronym consists of the letters in their order; those of little words ("MoT") may stand between."""
+    at = 0
+    for c in acronym:
+        if at < len(letters) and c == letters[at]:
+            at += 1
+        elif c not in _LITTLE:
+            return False
+    return at == len(letters)
+
+
 def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) -> tuple[float, bool]:
     """(share of the weight that the names have in common, whether it needs initials or acronyms).
 
@@ -112,7 +131,7 @@ def similarity(a: list[str], b: list[str], wa: list[float], wb: list[float]) ->
                 rest = sorted(others)
                 letters = "".join(others[j][0] for j in rest)
                 plain = token[:-1]
-                if letters and letters in (plain, plain.replace("o", "")):
+                if letters and spells(plain, letters):
                     common += sum(w_others[j] for j in rest)
                     weak = True
                     del mine[i]
@@ -144,9 +163,8 @@ def _similar_tokens(tokens: DataFrame) -> DataFrame:
     prefix = cut_lineage(exploded.join(frequency, "gram").withColumn("k", F.row_number().over(order)).where(F.col("k") <= PREFIX_GRAMS).select("token", "n", "gram"))
     other = prefix.select("gram", F.col("token").alias("stands_for"), F.col("n").alias("m"))
     more = (F.col("m") > F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("stands_for") < F.col("token")))
-    twice = ((F.col("n") <= RAREST) | (F.col("m") >= RATIO**2 * F.col("n"))) & (F.length("token") >= LONG)
-    once = (F.col("n") <= RARE) | (F.col("m") >= RATIO * F.col("n"))
-    most = F.when(twice, 2).when(once, 1)
+    enough = lambda edited: functools.reduce(operator.or_, [(F.length("token") >= letters) & (F.col("m") >= ratio * F.col("n")) for letters, ratio in RATIOS[edited]])
+    most = F.when(enough(2), 2).when(enough(1), 1)
     near = F.abs(F.length("token") - F.length("stands_for")) <= most
     pairs = prefix.join(other, "gram").where(more & near).select("token", "stands_for", "m", most.alias("most")).distinct()
     # A swap is two edits to levenshtein.
@@ -175,6 +193,39 @@ def components(links: DataFrame, a: str, b: str, rounds: int = 30) -> DataFrame:
     return components(links.join(labels.withColumnRenamed("node", a), a).select("set", b).toDF(a, b), a, b, rounds) if rounds else labels
 
 
+def _candidates(vectors: DataFrame, threshold: float) -> DataFrame:
+    """(form, other), form < other: names that may share ``threshold`` of their weight, each pair once."""
+    heavy = F.array_distinct(F.transform("tokens", lambda t, i: F.struct((-F.element_at("weights", i + 1)).alias("w"), t.alias("t"))))
+    plain = F.array_sort(F.filter(heavy, lambda x: ~x["t"].rlike("[.!]$")))
+    words = vectors.select("form", "written", plain.alias("words")).where("size(words) > 0")
+    # The weight of all words, and for every word what comes before it in the order of weight.
+    weight = lambda ws: F.aggregate(ws, F.lit(0.0), lambda acc, x: acc - x["w"])
+    words = words.withColumn("all", weight(F.col("words"))).withColumn("before", F.transform("words", lambda x, i: weight(F.slice("words", 1, i))))
+    spare = (1 - threshold) * F.col("all") + 1e-9
+    first = words.select("form", "written", "words", "all", "before", F.posexplode("words").alias("i", "x"))
+    # Words are repeated in few names; what they weigh twice is spared too, as the set of words has it once.
+    open_first = F.col("before")[F.col("i")] <= spare
+    index = cut_lineage(first.select("form", "written", F.col("x.t").alias("token"), open_first.alias("probe")))
+
+    # Both sides have the same order of words, so the first two common words are among the keys of both.
+    mine = first.where("written").where(open_first)
+    skipped = lambda j: F.col("before")[j] + F.col("x.w")
+    partners = F.filter(F.transform("words", lambda y, j: F.when((j > F.col("i")) & (skipped(j) <= spare), y["t"])), lambda t: t.isNotNull())
+    alone = F.when(F.col("all") + F.col("x.w") <= spare, F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
+    keys = cut_lineage(mine.select("form", F.col("x.t").alias("token"), F.explode(F.concat(partners, alone)).alias("with")).select("form", F.xxhash64("token", "with").alias("key")))
+    pairs = keys.join(keys.withColumnRenamed("form", "other"), "key").where("form < other").select("form", "other")
+
+    # Names that aren't written out look up single words. Both sides of a frequent word are cut into slices.
+    probes = index.where("probe and not written").select("form", "token")
+    lengths = index.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("probe and not written")).alias("p")).where("p > 0")
+    slices = F.ceil(F.col("n").cast("double") * F.col("p") / SLICE).cast("int")
+    lengths = lengths.select("token", F.greatest(F.lit(1), slices).alias("slices"))
+    cut = probes.join(lengths, "token").select("form", "token", F.pmod(F.xxhash64("form"), F.col("slices")).alias("slice"))
+    copies = index.join(lengths, "token").select(F.col("form").alias("other"), "token", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices").cast("bigint") - 1)).alias("slice"))
+    looked_up = cut.join(copies, ["token", "slice"]).where("form <> other").select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other"))
+    return pairs.unionByName(looked_up).distinct()
+
+
 def variant_sets(entities: DataFrame, key: str, name: str, threshold: float = THRESHOLD) -> DataFrame:
     """(``key``, ``set``) of every entity whose name is a variant of another's; one row a key.
 
@@ -188,35 +239,27 @@ def variant_sets(entities: DataFrame, key: str, name: str, threshold: float = TH
 
     rows = entities.select(F.col(key).cast("string").alias("key"), F.col(name).alias("name")).where("key is not null and trim(name) <> ''").distinct()
     parsed = rows.mapInPandas(parse, "key string, name string, tokens array<string>").where("size(tokens) > 0")
-    # Names with the same tokens in any order are one form.
-    parsed = cut_lineage(parsed.select("key", F.array_sort("tokens").alias("sorted"), "tokens"))
+    # Names with the same tokens in any order are one form; its number is fixed once the table is written.
+    parsed = cut_lineage(parsed.select("key", F.array_join(F.array_sort("tokens"), " ").alias("sorted"), "tokens"))
     forms = parsed.groupBy("sorted").agg(F.min("tokens").alias("tokens"), F.count_distinct("key").alias("n"))
-    forms = cut_lineage(forms.withColumn("form", F.sha2(F.array_join("sorted", " "), 256)))
+    forms = cut_lineage(forms.withColumn("form", F.monotonically_increasing_id()))
     occurrences = forms.select("form", F.posexplode("tokens").alias("pos", "token"), "n")
-    counts = cut_lineage(occurrences.groupBy("token").agg(F.sum("n").alias("n")))
-    stands = cut_lineage(_similar_tokens(counts))
+    counts = cut_lineage(occurrences.groupBy("token").agg(F.sum("n").alias("n"), F.count_distinct("form").alias("f")))
+    stands = cut_lineage(_similar_tokens(counts.select("token", "n")))
     second = stands.select(F.col("token").alias("stands_for"), F.col("stands_for").alias("further"))
     stands = stands.join(second, "stands_for", "left").select("token", F.coalesce("further", "stands_for").alias("stands_for"))
     total = max(1, forms.count())
-    meant = occurrences.join(stands, "token", "left").select("form", "pos", F.coalesce("stands_for", "token").alias("token"))
-    frequency = meant.groupBy("token").agg(F.count_distinct("form").alias("f"))
-    marked = F.col("token").rlike("[.!]$")
-    weight = F.when(F.col("token").rlike(r"^.\.$"), 0.5).when(marked, 2.0).otherwise(F.log(1 + total / F.col("f")))
-    weighed = meant.join(frequency, "token").select("form", "pos", "token", weight.alias("w"))
-    listed = F.sort_array(F.collect_list(F.struct("pos", "token", "w")))
-    vectors = weighed.groupBy("form").agg(listed.alias("l")).select("form", F.transform("l", lambda x: x["token"]).alias("tokens"), F.transform("l", lambda x: x["w"]).alias("weights"))
-    vectors = cut_lineage(vectors)
-
-    # Without its heaviest words a name can't have the threshold's share in common; those are looked up among all words of
-    # the others. What stands for an unknown number of words isn't counted on, so a name with initials probes by its words.
-    plain = vectors.select("form", F.explode(F.arrays_zip("tokens", "weights")).alias("x")).select("form", F.col("x.tokens").alias("token"), F.col("x.weights").alias("w")).where(~marked)
-    along = Window.partitionBy("form").orderBy(F.desc("w"), "token")
-    before = F.coalesce(F.sum("w").over(along.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    everything = F.sum("w").over(Window.partitionBy("form"))
-    ranked = cut_lineage(plain.withColumn("before", before).withColumn("all", everything).select("form", "token", (F.col("before") <= (1 - threshold) * F.col("all") + 1e-9).alias("probe")).distinct())
-    probes, index = ranked.where("probe").select("form", "token"), ranked.select(F.col("form").alias("other"), "token")
-    candidates = probes.join(index, "token").where("form <> other").select(F.least("form", "other").alias("form"), F.greatest("form", "other").alias("other")).distinct()
-    sides = candidates.join(vectors, "form").join(vectors.select(F.col("form").alias("other"), F.col("tokens").alias("tokens2"), F.col("weights").alias("weights2")), "other")
+    # A misspelt word counts for the one that it stands for.
+    meant = cut_lineage(counts.join(stands, "token", "left").select("token", F.coalesce("stands_for", "token").alias("meant"), "n", "f"))
+    frequency = meant.groupBy("meant").agg(F.sum("f").alias("f"))
+    marked = F.col("meant").rlike("[.!]$")
+    weight = F.when(F.col("meant").rlike(r"^.\.$"), 0.5).when(marked, 2.0).otherwise(F.log(1 + total / F.col("f")))
+    table = cut_lineage(meant.drop("f").join(frequency, "meant").select("token", "n", "meant", weight.alias("w")))
+    weighed = join_hot_cold(occurrences.drop("n"), table, "token", "n", ["meant", "w"])
+    listed = F.sort_array(F.collect_list(F.struct("pos", "meant", "w")))
+    vectors = weighed.groupBy("form").agg(listed.alias("l")).select("form", F.transform("l", lambda x: x["meant"]).alias("tokens"), F.transform("l", lambda x: x["w"]).alias("weights"))
+    vectors = cut_lineage(vectors.withColumn("written", (F.size("tokens") <= MANY_WORDS) & ~F.exists("tokens", lambda t: t.rlike("[.!]$"))))
+    sides = _candidates(vectors, threshold).join(vectors.drop("written"), "form").join(vectors.select(F.col("form").alias("other"), F.col("tokens").alias("tokens2"), F.col("weights").alias("weights2")), "other")
 
     @F.pandas_udf("struct<score:double,weak:boolean>")
     def compare(a: pd.Series, b: pd.Series, wa: pd.Series, wb: pd.Series) -> pd.DataFrame:
@@ -243,7 +286,7 @@ def variant_sets(entities: DataFrame, key: str, name: str, threshold: float = TH
     joined = unique.unionByName(level.select(F.col("set").alias("a"), F.col("target").alias("b"))).distinct()
     merged = components(joined, "a", "b")
     final = label.join(merged.select(F.col("node").alias("set"), F.col("set").alias("whole")), "set", "left").select("form", F.coalesce("whole", "set").alias("set"))
-    member = parsed.select("key", F.sha2(F.array_join("sorted", " "), 256).alias("form")).join(final, "form").groupBy("key").agg(F.min("set").alias("set"))
+    member = parsed.select("key", "sorted").join(forms.select("sorted", "form"), "sorted").join(final, "form").groupBy("key").agg(F.min("set").alias("set"))
     sizes = member.groupBy("set").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return member.join(sizes.select("set"), "set").select(F.col("key").alias(key), "set")
 
