@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,19 +22,28 @@ def round_half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("int")
 
 
-def intensity(feed: Column, magnitude: Column) -> Column:
-    """0 to 1 from a feed's own magnitude scale; the default where there is none."""
+# Strength by source, from 0 to 1, over the source's own magnitude scale.
+INTENSITY_CURVES: dict[str, Callable[[Column], Column]] = {
+    "usgs.quakes": lambda m: (m - 2.5) / 6.5,
+    "gdelt.events": lambda m: 0.6 * clamp01((10 - m) / 20) + 0.4 * F.abs(m) / 10,
+    "gdacs.alerts": lambda m: (m - 0.5) / 2.5,
+    "nws.alerts": lambda m: (m - 0.5) / 3.5,
+    "firms.fires": lambda m: F.log10(F.greatest(m, F.lit(1.0)) + 1) / 3.5,
+    "nasa.eonet": lambda m: F.lit(0.5),
+    "noaa.swpc": lambda m: (m - 0.5) / 4.5,
+}
+
+
+def intensity(source_id: Column, magnitude: Column, curves: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """0 to 1 from a source's own magnitude scale; the default without a magnitude or a curve.
+
+    ``curves`` adds to or replaces the curves of INTENSITY_CURVES.
+    """
     m = magnitude.cast("double")
-    curve = (
-        F.when(feed == "usgs", (m - 2.5) / 6.5)
-        .when(feed == "gdelt", 0.6 * (10 - m) / 20 + 0.4 * F.abs(m) / 10)
-        .when(feed == "gdacs", (m - 0.5) / 2.5)
-        .when(feed == "nws", (m - 0.5) / 3.5)
-        .when(feed == "firms", F.log10(F.greatest(m, F.lit(1.0)) + 1) / 3.5)
-        .when(feed == "eonet", F.lit(0.5))
-        .when(feed == "swpc", (m - 0.5) / 4.5)
-    )
-    return F.when(m.isNull() | F.isnan(m) | curve.isNull(), DEFAULT_INTENSITY).otherwise(clamp01(curve))
+    curve = F.lit(None).cast("double")
+    for source, strength in {**INTENSITY_CURVES, **(curves or {})}.items():
+        curve = F.when(source_id == source, strength(m)).otherwise(curve)
+    return F.when(m.isNull() | F.isnan(m) | (F.abs(m) == float("inf")) | curve.isNull(), DEFAULT_INTENSITY).otherwise(clamp01(curve))
 
 
 def corroboration(n: Column) -> Column:
@@ -44,8 +55,7 @@ def severity(category: Column, strength: Column, tone: Column, reports: Column,
     """0 to 100: the category's weight times intensity, corroboration and negative tone."""
     negativity = F.when(tone.isNull(), 0.3).otherwise(clamp01(-tone))
     support = corroboration(F.greatest(F.coalesce(reports, F.lit(1)), F.coalesce(sources, F.lit(1))))
-    weight = lookup(category, CATEGORY_WEIGHT, CATEGORY_WEIGHT["other"])
-    return round_half_up(100 * clamp01(weight * (0.6 * strength + 0.25 * support + 0.15 * negativity)))
+    return round_half_up(100 * clamp01(category_weight(category) * (0.6 * strength + 0.25 * support + 0.15 * negativity)))
 
 
 def confidence(precision: Column, category_confidence: Column, sources: Column) -> Column:
@@ -54,6 +64,17 @@ def confidence(precision: Column, category_confidence: Column, sources: Column)
     return round_half_up(100 * clamp01(place * (0.5 + 0.5 * category_confidence) * clamp01(0.6 + 0.4 * corroboration(sources))))
 
 
+def category_weight(category: Column) -> Column:
+    """Weight of a category, that of ``other`` if unknown."""
+    return lookup(category, CATEGORY_WEIGHT, CATEGORY_WEIGHT["other"])
+
+
+def observation(source_id: Column, category: Column, category_confidence: Column, magnitude: Column, tone: Column, reports: Column, precision: Column, sources: Column | None = None, curves: dict | None = None) -> Column:
+    """struct(severity, confidence) of an observation, or of an event by its peak and number of ``sources``."""
+    n = F.lit(1) if sources is None else sources
+    return F.struct(severity(category, intensity(source_id, magnitude, curves), tone, reports, n).alias("severity"), confidence(precision, category_confidence, n).alias("confidence"))
+
+
 def recency(category: Column, seen: Column, now: Column, mode: str = "full") -> Column:
     """Weight that halves every half-life of the category; 1 for times to come."""
     return F.pow(F.lit(0.5), F.greatest(F.lit(0.0), age_hours(seen, now)) / half_life_h(category, mode))

@@ -62,7 +62,7 @@ def enrich(drafts: DataFrame, places: DataFrame, countries: DataFrame, embed: Ca
     inferred = classify.classify(rows, "id", "__text", "embedding", prototype_vectors(drafts.sparkSession, embed)).select("id", F.col("category").alias("i_category"), F.col("category_confidence").alias("i_confidence"))
     blended = classify.blend_prior(F.col("category"), classify.prior_strength(F.col("source_id")), F.col("i_category"), F.col("i_confidence"))
     rows = rows.join(inferred, "id").withColumn("b", blended).withColumns({"category": F.col("b.category"), "category_confidence": F.col("b.confidence")}).drop("b", "__text", "i_category", "i_confidence")
-    strength = score.intensity(F.split("source_id", r"\.")[0], F.col("magnitude"))
+    strength = score.intensity(F.col("source_id"), F.col("magnitude"))
     return rows.withColumns(
         {
             "severity": score.severity(F.col("category"), strength, F.col("tone"), F.col("report_count"), F.lit(1)),

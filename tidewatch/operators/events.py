@@ -214,13 +214,15 @@ def cluster_online(observations: DataFrame, block: list[str] | None = None) -> D
     return ordered.mapInPandas(run, "observation_id string, event_id string, similarity double")
 
 
-def recompute(links: DataFrame, observations: DataFrame, now: Column) -> DataFrame:
+def recompute(links: DataFrame, observations: DataFrame, now: Column, editorial: list[str] | None = None, synthetic: list[str] | None = None) -> DataFrame:
     """One row per event from its members; ties fall to the earlier, then the smaller id.
 
-    ``links``: event_id, observation_id; ``observations``: id and the columns of the model.
+    ``links``: event_id, observation_id; ``observations``: id and the columns of the model. The peak, the member of the highest
+    severity, is scored again as the event's: with the event's category, precision and number of sources.
     """
     members = links.join(observations.withColumnRenamed("id", "observation_id"), "observation_id")
     weight = lookup(F.col("geo_precision"), MEMBER_WEIGHT, 0.5)
+    located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     sums = geo.unit_sums(F.col("lat"), F.col("lon"), weight)
     order = lambda *first: F.struct(*first, (-F.unix_micros("occurred_at")).alias("t"), F.col("observation_id").alias("i"))
     body = F.when(F.trim("body") != "", F.col("body"))
@@ -229,31 +231,45 @@ def recompute(links: DataFrame, observations: DataFrame, now: Column) -> DataFra
         F.count_distinct("source_id").alias("source_count"),
         F.min("occurred_at").alias("first_seen_at"),
         F.max("occurred_at").alias("last_seen_at"),
-        F.count_if(F.col("occurred_at") > now - F.expr("INTERVAL 3 HOURS")).alias("recent"),
+        F.count_if(F.col("occurred_at") >= now - F.expr("INTERVAL 3 HOURS")).alias("recent"),
         *[v.alias(k) for k, v in sums.items()],
-        F.max_by(F.struct("geo_precision", "place_name"), order(F.when(F.col("lat").isNotNull(), weight))).alias("best_place"),
-        F.max_by(F.struct("category", "category_confidence", "severity", "tone", "report_count", "geo_precision"), order(F.col("severity"))).alias("peak"),
-        F.max_by(body, F.when(body.isNotNull(), order(F.col("severity")))).alias("best_body"),
+        F.max_by(F.struct("geo_precision", "place_name"), F.when(located, order(weight))).alias("best_place"),
+        F.max_by(F.struct("source_id", "category_confidence", "magnitude", "tone", "report_count"), order(F.coalesce("severity", F.lit(0)))).alias("peak"),
+        F.max_by(body, F.when(body.isNotNull(), order(F.coalesce("severity", F.lit(0))))).alias("best_body"),
     )
     votes = members.groupBy("event_id", "category").agg(F.sum(F.greatest(F.coalesce("category_confidence", F.lit(0.0)), F.lit(0.1))).alias("v"))
     category = votes.groupBy("event_id").agg(F.max_by("category", F.struct(F.round("v", 9), F.col("category"))).alias("category"))
     places = members.where("country_code is not null").groupBy("event_id", "country_code").agg(F.count(F.lit(1)).alias("v"))
     country = places.groupBy("event_id").agg(F.max_by("country_code", F.struct("v", "country_code")).alias("country_code"))
-    out = base.join(category, "event_id").join(country, "event_id", "left")
+    out = base.join(category, "event_id").join(country, "event_id", "left").join(pick_titles(members, editorial or [], synthetic or []), "event_id")
     speed = score.velocity(F.col("recent"), F.col("observation_count"), F.col("first_seen_at"), F.col("last_seen_at"))
     centre = geo.direction(F.col("x"), F.col("y"), F.col("z"), F.col("w"))
+    peak = lambda c: F.col(f"peak.{c}")
+    precision = F.coalesce("best_place.geo_precision", F.lit("unknown"))
+    tone, magnitude = (F.when(~F.isnan(peak(c)), peak(c)) for c in ("tone", "magnitude"))
+    rescored = score.observation(peak("source_id"), F.col("category"), F.coalesce(peak("category_confidence"), F.lit(0.0)), magnitude, tone, peak("report_count"), precision, F.col("source_count"))
     return (
-        out.withColumns({"velocity": speed, "centre": centre})
+        out.withColumns({"velocity": speed, "centre": centre, "score": rescored})
         .withColumn("status", score.status(F.col("last_seen_at"), F.col("velocity"), now))
-        .withColumn("confidence", score.confidence(F.col("best_place.geo_precision"), F.coalesce(F.col("peak.category_confidence"), F.lit(0.0)), F.col("source_count")))
         .select(
-            "event_id", "category", "country_code", "status", F.col("peak.severity").alias("severity"), "confidence", "velocity", F.col("centre.lat").alias("lat"), F.col("centre.lon").alias("lon"),
-            F.col("best_place.geo_precision").alias("geo_precision"), F.col("best_place.place_name").alias("place_name"), "observation_count", "source_count", "first_seen_at", "last_seen_at",
+            "event_id", "title", "category", "country_code", "status", "score.severity", "score.confidence", "velocity", F.col("centre.lat").alias("lat"), F.col("centre.lon").alias("lon"), precision.alias("geo_precision"),
+            F.col("best_place.place_name").alias("place_name"), F.when(F.col("centre").isNotNull(), geo.grid_cell(F.col("centre.lat"), F.col("centre.lon"))).alias("grid_cell"), "observation_count", "source_count", "first_seen_at", "last_seen_at",
             text.truncate(F.col("best_body"), 500).alias("summary"),
         )
     )
 
 
+def created_events(observations: DataFrame) -> DataFrame:
+    """The row of a new event from its first observation, with the observation's vector as centroid (null if it has none)."""
+    keep = lambda *names: [F.col(n) for n in names]
+    body = F.when(F.trim("body") != "", text.truncate(F.col("body"), 600))
+    return observations.select(
+        F.col("id"), text.truncate(F.col("title"), 200).alias("title"), body.alias("summary"), *keep("category"), F.lit("active").alias("status"), *keep("severity", "confidence"), F.lit(0.0).alias("velocity"),
+        *keep("lat", "lon", "geo_precision", "place_name", "country_code", "grid_cell"), F.lit(1).alias("observation_count"), F.lit(1).alias("source_count"), F.col("occurred_at").alias("first_seen_at"), F.col("occurred_at").alias("last_seen_at"),
+        F.col("embedding").alias("centroid"),
+    )
+
+
 def pick_titles(members: DataFrame, editorial: list[str], synthetic: list[str]) -> DataFrame:
     """Best title of every event from event_id, observation_id, title, severity, source_id."""
     value = score.title_score(F.trim("title"), F.col("severity"), F.col("source_id").isin(editorial), F.col("source_id").isin(synthetic))

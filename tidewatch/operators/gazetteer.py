@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..session import cut_lineage
-from .spatial import pairs_within, usable_location
+from .spatial import nearest_within, usable_location
 
 #: Inhabitants from which a bare capitalised word may be a place.
 BARE_CITY = 200_000
@@ -60,9 +60,7 @@ def find_places(df: DataFrame, key: str, name: str, country: str | None, names:
 
 def nearest_place(points: DataFrame, key: str, places: DataFrame, km: float) -> DataFrame:
     """``key``, ``geoname_id`` and ``distance_km`` of the nearest place within ``km``; ties by id."""
-    near = pairs_within(points.select(F.col(key), "lat", "lon"), places.select("geoname_id", "lat", "lon"), key, "geoname_id", km)
-    best = near.groupBy(key).agg(F.min(F.struct("distance_km", "geoname_id")).alias("b"))
-    return best.select(key, "b.geoname_id", "b.distance_km")
+    return nearest_within(points.select(F.col(key), "lat", "lon"), places.select("geoname_id", "lat", "lon"), key, "geoname_id", km)
 
 
 def spans(words: Column) -> Column:
