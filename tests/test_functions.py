@@ -90,8 +90,8 @@ def test_vectors(spark):
 
 def test_scores(spark):
     f = lambda feed, m: value(spark, score.intensity(F.lit(feed), F.lit(m).cast("double")))
-    assert f("usgs", 9.0) == 1 and f("usgs", 2.0) == 0 and f("usgs", None) == 0.4 and f("unknown", 3.0) == 0.4 and f("usgs", float("nan")) == 0.4
-    assert abs(f("gdelt", -10.0) - 1.0) < 1e-9 and abs(f("gdacs", 3.0) - 1.0) < 1e-9
+    assert f("usgs.quakes", 9.0) == 1 and f("usgs.quakes", 2.0) == 0 and f("usgs.quakes", None) == 0.4 and f("unknown", 3.0) == 0.4 and f("usgs.quakes", float("nan")) == 0.4
+    assert abs(f("gdelt.events", -10.0) - 1.0) < 1e-9 and abs(f("gdacs.alerts", 3.0) - 1.0) < 1e-9
     corr = lambda n: value(spark, score.corroboration(F.lit(n)))
     assert corr(1) == 0 and corr(100) == 1 and corr(0) == 0 and 0 < corr(10) < 1
     sev = lambda *a: value(spark, score.severity(*[F.lit(x) for x in a]))

@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import geo, score, time, vector
-from .model import CATEGORY_WEIGHT, GROUPS, HALF_LIFE_H, PRECISION_CONFIDENCE, STORED_HALF_LIVES, lexicon_rows
+from .model import CATEGORY_WEIGHT, GROUPS, HALF_LIFE_H, MEMBER_WEIGHT, PRECISION_CONFIDENCE, STORED_HALF_LIVES, lexicon_rows
 from .operators import anomaly, classify, entities, events, gazetteer, rules
 from .plans import reads
 from .tables import load
@@ -47,11 +47,17 @@ def _filtered(spark: SparkSession, d: str, filters: reads.EventFilters) -> DataF
     return reads.distinct_by(reads.where_all(load(spark, d, "event_clusters"), filters.conditions()), "id")
 
 
-def _observations(spark: SparkSession, d: str) -> DataFrame:
-    """First delivery of every observation."""
-    columns = ["id", "source_id", "external_id", "title", "body", "occurred_at", "ingested_at", "lat", "lon", "geo_precision", "place_name", "country_code", "grid_cell", "category", "category_confidence", "severity", "confidence", "magnitude", "tone", "report_count"]
-    rows = load(spark, d, "observations").select(*columns)
-    return rows.groupBy("id").agg(F.min_by(F.struct(*[c for c in columns if c != "id"]), "ingested_at").alias("r")).select("id", "r.*")
+def _observations(spark: SparkSession, d: str, *columns: str, where: Column | None = None) -> DataFrame:
+    """``id`` and the named columns of the first delivery of every observation; only they are read.
+
+    Deliveries of one id differ in nothing but ``ingested_at``, so a condition on other columns may come first and reach the scan.
+    """
+    rows = load(spark, d, "observations")
+    rows = rows if where is None else rows.where(where)
+    names = [c for c in dict.fromkeys(columns) if c != "id"]
+    if "ingested_at" not in names:
+        return rows.select("id", *names).dropDuplicates(["id"])
+    return rows.groupBy("id").agg(F.min_by(F.struct(*names), "ingested_at").alias("r")).select("id", "r.*")
 
 
 _E = "e AS (SELECT * EXCLUDE k FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY id) AS k FROM event_clusters) WHERE k = 1)"
@@ -118,7 +124,7 @@ def event_markers(spark, d):
     f"WITH {_O} SELECT epoch_us(occurred_at) // 3600000000 * 3600 AS bucket_s, category, count(*) AS count, CAST(floor(avg(severity) + 0.5) AS INTEGER) AS avg_severity, CAST(max(severity) AS INTEGER) AS max_severity FROM o WHERE occurred_at >= TIMESTAMPTZ '2025-03-20 00:00:00+00' GROUP BY 1, 2"
 )
 def timeline_hour(spark, d):
-    rows = reads.timeline(_observations(spark, d), F.lit("2025-03-20 00:00:00").cast("timestamp"))
+    rows = reads.timeline(_observations(spark, d, "occurred_at", "category", "severity", where=F.col("occurred_at") >= F.lit("2025-03-20 00:00:00").cast("timestamp")), F.lit("2025-03-20 00:00:00").cast("timestamp"))
     return rows.select(F.unix_seconds("bucket").alias("bucket_s"), "category", "count", "avg_severity", "max_severity")
 
 
@@ -131,7 +137,7 @@ SELECT s.bucket_s, """
     + " FROM s LEFT JOIN o ON epoch_us(o.occurred_at) // 21600000000 * 21600 = s.bucket_s GROUP BY 1"
 )
 def timeline_groups_filled(spark, d):
-    rows = reads.grouped_timeline(_observations(spark, d), datetime(2025, 3, 20), NOW, reads.bucket_minutes(192))
+    rows = reads.grouped_timeline(_observations(spark, d, "occurred_at", "category", "severity", where=(F.col("occurred_at") >= F.lit(datetime(2025, 3, 20))) & (F.col("occurred_at") < F.lit(NOW))), datetime(2025, 3, 20), NOW, reads.bucket_minutes(192))
     return rows.select(F.unix_seconds("bucket").alias("bucket_s"), *GROUPS)
 
 
@@ -142,7 +148,7 @@ SELECT * FROM (SELECT count(*) FILTER (WHERE status = 'active') AS active_events
 )
 def dashboard_stats(spark, d):
     alerts = reads.distinct_by(load(spark, d, "alerts"), "id")
-    return reads.dashboard_stats(_events(spark, d), _observations(spark, d), alerts, load(spark, d, "sources"), _now())
+    return reads.dashboard_stats(_events(spark, d), _observations(spark, d, "ingested_at"), alerts, load(spark, d, "sources"), _now())
 
 
 @query(f"WITH {_E} SELECT category, count(*) AS n FROM e WHERE last_seen_at >= {_NOW} - INTERVAL 24 HOUR GROUP BY 1 ORDER BY n DESC, category LIMIT 8")
@@ -203,7 +209,7 @@ def _links(ev: DataFrame, ob: DataFrame) -> DataFrame:
 FROM l JOIN o ON o.id = l.observation_id LEFT JOIN sources s ON s.id = o.source_id) SELECT event_id, observation_id, source_name FROM r WHERE k <= 5"""
 )
 def event_members(spark, d):
-    ob = _observations(spark, d)
+    ob = _observations(spark, d, "category", "grid_cell", "occurred_at", "source_id")
     rows = reads.members(_links(_events(spark, d), ob), ob.withColumnRenamed("id", "observation_id"), load(spark, d, "sources"), 5)
     return rows.select("event_id", "observation_id", "source_name")
 
@@ -216,23 +222,42 @@ SELECT * FROM r WHERE k <= 4"""
 )
 def event_top_entities_ranked(spark, d):
     mentions = load(spark, d, "observation_entities").where("entity_id is not null").select("observation_id", "entity_id", "mentions").distinct()
-    return reads.top_entities(_links(_events(spark, d), _observations(spark, d)), mentions, load(spark, d, "entities"), 4)
+    return reads.top_entities(_links(_events(spark, d), _observations(spark, d, "category", "grid_cell", "occurred_at")), mentions, load(spark, d, "entities"), 4)
+
+
+# The feeds of the tables at hand, each with the scale of a feed that measures the same.
+_CURVES = {"quake.lattice": score.INTENSITY_CURVES["usgs.quakes"], "storm.eastgrid": score.INTENSITY_CURVES["nws.alerts"], "fire.skylook": score.INTENSITY_CURVES["firms.fires"]}
+_STRENGTH = lambda source, m: f"CASE WHEN {m} IS NULL OR isnan({m}) THEN 0.4 ELSE least(1, greatest(0, CASE {source} WHEN 'quake.lattice' THEN ({m} - 2.5) / 6.5 WHEN 'storm.eastgrid' THEN ({m} - 0.5) / 3.5 WHEN 'fire.skylook' THEN log10(greatest({m}, 1) + 1) / 3.5 ELSE 0.4 END)) END"
+_TONE = lambda t: f"CASE WHEN {t} IS NULL OR isnan({t}) THEN 0.3 ELSE least(1, greatest(0, -{t})) END"
+_SUPPORT = lambda n: f"least(1, greatest(0, log10(greatest(1, {n})) / 2))"
+_WEIGHT = _CASE("geo_precision", MEMBER_WEIGHT, 0.5)
+_EDITORIAL, _SYNTHETIC = ["press.harbourpost", "press.rheinbote"], ["quake.lattice"]
 
 
 @query(
-    f"""WITH {_E}, {_O}, {_LINKS}, m AS (SELECT l.event_id, o.* FROM l JOIN o ON o.id = l.observation_id),
-b AS (SELECT event_id, count(*) AS observation_count, count(DISTINCT source_id) AS source_count, count(*) FILTER (WHERE occurred_at > {_NOW} - INTERVAL 3 HOUR) AS recent, min(occurred_at) AS f, max(occurred_at) AS t, CAST(max(severity) AS INTEGER) AS severity FROM m GROUP BY 1),
+    f"""WITH {_E}, {_O}, {_LINKS}, m AS (SELECT l.event_id, o.*, {_WEIGHT} AS w, epoch_us(o.occurred_at) AS us FROM l JOIN o ON o.id = l.observation_id),
+b AS (SELECT event_id, count(*) AS observation_count, count(DISTINCT source_id) AS source_count, count(*) FILTER (WHERE occurred_at >= {_NOW} - INTERVAL 3 HOUR) AS recent, min(occurred_at) AS f, max(occurred_at) AS t,
+ sum(CASE WHEN lon IS NOT NULL THEN w * cos(radians(lat)) * cos(radians(lon)) END) AS x, sum(CASE WHEN lon IS NOT NULL THEN w * cos(radians(lat)) * sin(radians(lon)) END) AS y, sum(CASE WHEN lon IS NOT NULL THEN w * sin(radians(lat)) END) AS z FROM m GROUP BY 1),
+pk AS (SELECT * FROM (SELECT event_id, source_id, category_confidence, magnitude, tone, report_count, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(severity, 0) DESC, us, id DESC) AS k FROM m) WHERE k = 1),
+bp AS (SELECT * FROM (SELECT event_id, geo_precision, place_name, row_number() OVER (PARTITION BY event_id ORDER BY w DESC, us, id DESC) AS k FROM m WHERE lat IS NOT NULL AND lon IS NOT NULL) WHERE k = 1),
+bb AS (SELECT * FROM (SELECT event_id, body, row_number() OVER (PARTITION BY event_id ORDER BY coalesce(severity, 0) DESC, us, id DESC) AS k FROM m WHERE trim(body) <> '') WHERE k = 1),
 c AS (SELECT event_id, category FROM (SELECT event_id, category, row_number() OVER (PARTITION BY event_id ORDER BY round(sum(greatest(coalesce(category_confidence, 0), 0.1)), 9) DESC, category DESC) AS k FROM m GROUP BY event_id, category) WHERE k = 1),
 g AS (SELECT event_id, country_code FROM (SELECT event_id, country_code, row_number() OVER (PARTITION BY event_id ORDER BY count(*) DESC, country_code DESC) AS k FROM m WHERE country_code IS NOT NULL GROUP BY event_id, country_code) WHERE k = 1),
-v AS (SELECT *, least(10, (recent / 3) / (observation_count / greatest((epoch_us(t) - epoch_us(f)) / 3.6e9, 0.25))) AS velocity FROM b)
-SELECT v.event_id, c.category, g.country_code, observation_count, source_count, severity, round(velocity, 6) AS velocity,
- CASE WHEN abs({_AGE('t')}) > 168 THEN 'closed' WHEN abs({_AGE('t')}) > 24 THEN 'dormant' WHEN velocity > 1.3 AND abs({_AGE('t')}) < 6 THEN 'developing' ELSE 'active' END AS status
-FROM v JOIN c USING (event_id) LEFT JOIN g USING (event_id)"""
+v AS (SELECT *, least(10, (recent / 3) / (observation_count / greatest((epoch_us(t) - epoch_us(f)) / 3.6e9, 0.25))) AS velocity, sqrt(x * x + y * y) AS flat FROM b),
+q AS (SELECT v.*, c.category, g.country_code, coalesce(bp.geo_precision, 'unknown') AS geo_precision, bp.place_name, bb.body, pk.source_id, pk.magnitude, pk.tone, coalesce(pk.category_confidence, 0) AS cc, greatest(coalesce(pk.report_count, 1), source_count) AS n,
+ degrees(atan2(z, flat)) AS lat, degrees(atan2(y, x)) AS lon FROM v JOIN c USING (event_id) JOIN pk USING (event_id) LEFT JOIN g USING (event_id) LEFT JOIN bp USING (event_id) LEFT JOIN bb USING (event_id))
+SELECT event_id, category, country_code, geo_precision, place_name, observation_count, source_count, round(velocity, 6) AS velocity, round(lat, 5) AS lat, round(lon, 5) AS lon, epoch_us(f) AS first_us, epoch_us(t) AS last_us, length(body) > 500 AS long_body,
+ CASE WHEN lat IS NOT NULL THEN '5:' || CAST(floor((lat + 90) / 5) AS BIGINT) || ':' || CAST(floor((lon + 180) / 5) AS BIGINT) END AS grid_cell,
+ CAST(floor(100 * least(1, greatest(0, ({_CASE('category', CATEGORY_WEIGHT, 0.35)}) * (0.6 * ({_STRENGTH('source_id', 'magnitude')}) + 0.25 * {_SUPPORT('n')} + 0.15 * ({_TONE('tone')})))) + 0.5) AS INTEGER) AS severity,
+ CAST(floor(100 * least(1, greatest(0, ({_CASE('geo_precision', PRECISION_CONFIDENCE, 0.3)}) * (0.5 + 0.5 * cc) * least(1, greatest(0, 0.6 + 0.4 * {_SUPPORT('source_count')})))) + 0.5) AS INTEGER) AS confidence,
+ CASE WHEN abs({_AGE('t')}) > 168 THEN 'closed' WHEN abs({_AGE('t')}) > 24 THEN 'dormant' WHEN velocity > 1.3 AND abs({_AGE('t')}) < 6 THEN 'developing' ELSE 'active' END AS status FROM q"""
 )
 def event_recompute(spark, d):
-    ob = _observations(spark, d)
-    rows = events.recompute(_links(_events(spark, d), ob), ob, _now())
-    return rows.select("event_id", "category", "country_code", "observation_count", "source_count", F.col("severity").cast("int").alias("severity"), F.round("velocity", 6).alias("velocity"), "status")
+    """Every column of the recomputed events; of the summary, whether it was cut."""
+    ob = _observations(spark, d, "source_id", "title", "body", "occurred_at", "lat", "lon", "geo_precision", "place_name", "country_code", "grid_cell", "category", "category_confidence", "severity", "magnitude", "tone", "report_count")
+    rows = events.recompute(_links(_events(spark, d), ob), ob, _now(), _EDITORIAL, _SYNTHETIC, _CURVES)
+    columns = ["event_id", "category", "country_code", "geo_precision", "place_name", "grid_cell", "observation_count", "source_count", "severity", "confidence", "status"]
+    return rows.select(*columns, F.round("velocity", 6).alias("velocity"), F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"), F.unix_micros("first_seen_at").alias("first_us"), F.unix_micros("last_seen_at").alias("last_us"), F.col("summary").endswith("…").alias("long_body"))
 
 
 @query(
@@ -241,9 +266,9 @@ def event_recompute(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY s DESC, id DESC) AS k FROM m WHERE title <> '') SELECT event_id, title FROM r WHERE k = 1"""
 )
 def title_pick(spark, d):
-    ob = _observations(spark, d)
+    ob = _observations(spark, d, "category", "grid_cell", "occurred_at", "title", "severity", "source_id")
     members = _links(_events(spark, d), ob).join(ob.withColumnRenamed("id", "observation_id"), "observation_id")
-    return events.pick_titles(members, ["press.harbourpost", "press.rheinbote"], ["quake.lattice"])
+    return events.pick_titles(members, _EDITORIAL, _SYNTHETIC)
 
 
 @query("SELECT id, round(sqrt(list_sum(list_transform(centroid, lambda x: x::DOUBLE * x::DOUBLE))), 5) AS length FROM (SELECT DISTINCT ON (id) id, centroid FROM event_clusters WHERE len(centroid) = 64 AND len(list_filter(centroid, lambda x: isnan(x))) = 0)")
@@ -291,18 +316,24 @@ def country_centroid_weighted(spark, d):
     return load(spark, d, "places").groupBy("country_code").agg(mean("lat"), mean("lon"))
 
 
-_NEG = "CASE WHEN tone IS NULL THEN 0.3 ELSE least(1, greatest(0, -tone)) END"
 _CORR = lambda n: f"least(1, greatest(0, log10(greatest(1, {n})) / 2))"
-_INT = "CASE WHEN magnitude IS NULL OR isnan(magnitude) THEN 0.4 ELSE least(1, greatest(0, (magnitude - 2.5) / 6.5)) END"
+# The seven scales of strength, one a feed, over the magnitude m.
+_SCALES = {
+    "usgs.quakes": "(m - 2.5) / 6.5", "gdelt.events": "0.6 * least(1, greatest(0, (10 - m) / 20)) + 0.4 * abs(m) / 10", "gdacs.alerts": "(m - 0.5) / 2.5", "nws.alerts": "(m - 0.5) / 3.5",
+    "firms.fires": "log10(greatest(m, 1) + 1) / 3.5", "nasa.eonet": "0.5", "noaa.swpc": "(m - 0.5) / 4.5", "other.feed": "0.4",
+}
+_INTENSITY = "CASE WHEN m IS NULL OR isnan(m) THEN 0.4 ELSE least(1, greatest(0, CASE feed " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in _SCALES.items()) + " END)) END"
 
 
 @query(
-    f"""WITH {_O} SELECT id, CAST(floor(100 * least(1, greatest(0, ({_CASE('category', CATEGORY_WEIGHT, 0.35)}) * (0.6 * ({_INT}) + 0.25 * {_CORR('coalesce(report_count, 1)')} + 0.15 * ({_NEG.replace('tone IS NULL', 'tone IS NULL OR isnan(tone)')})))) + 0.5) AS INTEGER) AS score FROM o"""
+    f"""WITH {_O}, f(feed) AS (VALUES {', '.join(f"('{k}')" for k in _SCALES)}), q AS (SELECT id, feed, category, magnitude AS m, tone, report_count FROM o, f)
+SELECT id, feed, CAST(floor(100 * least(1, greatest(0, ({_CASE('category', CATEGORY_WEIGHT, 0.35)}) * (0.6 * ({_INTENSITY}) + 0.25 * {_CORR('coalesce(report_count, 1)')} + 0.15 * ({_TONE('tone')})))) + 0.5) AS INTEGER) AS score FROM q"""
 )
 def severity_score(spark, d):
+    """Severity of every observation by each of the feeds' scales, and by none."""
+    rows = _observations(spark, d, "category", "magnitude", "tone", "report_count").withColumn("feed", F.explode(F.array(*[F.lit(f) for f in _SCALES])))
     tone = F.when(~F.isnan("tone"), F.col("tone"))
-    strength = score.intensity(F.lit("usgs"), F.col("magnitude"))
-    return _observations(spark, d).select("id", score.severity(F.col("category"), strength, tone, F.col("report_count"), F.lit(1)).alias("score"))
+    return rows.select("id", "feed", score.severity(F.col("category"), score.intensity(F.col("feed"), F.col("magnitude")), tone, F.col("report_count"), F.lit(1)).alias("score"))
 
 
 @query(f"WITH {_E} SELECT id, CAST(floor(100 * least(1, greatest(0, ({_CASE('geo_precision', PRECISION_CONFIDENCE, 0.3)}) * 0.9 * least(1, greatest(0, 0.6 + 0.4 * {_CORR('source_count')})))) + 0.5) AS INTEGER) AS score FROM e")
@@ -329,23 +360,27 @@ WINDOW p AS (PARTITION BY category, grid_cell ORDER BY bucket_s ROWS BETWEEN UNB
 s AS (SELECT *, CASE WHEN prior_sd > 0 THEN (observed - prior_mean) / prior_sd ELSE 0 END AS z FROM z)"""
 
 
+def _cells(spark, d):
+    return _observations(spark, d, "category", "grid_cell", "occurred_at", "severity")
+
+
 @query(f"WITH {_O}, {_VOLUME}, {_Z} SELECT category, grid_cell, bucket_s, observed, prior_n, round(prior_mean, 6) AS prior_mean, round(z, 6) AS z FROM s")
 def anomaly_zscores(spark, d):
-    rows = anomaly.z_scores(anomaly.hourly_volume(_observations(spark, d)))
+    rows = anomaly.z_scores(anomaly.hourly_volume(_cells(spark, d)))
     return rows.select("category", "grid_cell", F.unix_seconds("bucket").alias("bucket_s"), "observed", "prior_n", F.round("prior_mean", 6).alias("prior_mean"), F.round("z", 6).alias("z"))
 
 
 @query(
-    f"WITH {_O}, {_VOLUME}, {_Z} SELECT 'volume_spike:' || category || ':' || grid_cell || ':' || strftime(make_timestamp(bucket_s * 1000000), '%Y-%m-%dT%H:00:00.000Z') AS dedup_key, observed, round(z, 6) AS z, CAST(floor(least(100, 45 + 55 * (1 - exp(-(z - 3) / 4))) + 0.5) AS INTEGER) AS severity FROM s WHERE prior_n >= 12 AND z >= 3 AND observed >= 4"
+    f"WITH {_O}, {_VOLUME}, {_Z} SELECT 'volume_spike:' || category || ':' || grid_cell || ':' || strftime(make_timestamp(bucket_s * 1000000), '%Y-%m-%dT%H:00:00.000Z') AS dedup_key, observed, round(z, 6) AS z, CAST(floor(least(100, 45 + 55 * (1 - exp(-(z - 3) / 4))) + 0.5) AS INTEGER) AS severity, 'Unusual ' || replace(category, '_', ' ') || ' volume' AS title, observed || ' reports against ' || printf('%.1f', expected) || ' expected (' || printf('%.1f', observed / expected) || '×)' AS detail FROM s WHERE prior_n >= 12 AND z >= 3 AND observed >= 4"
 )
 def anomaly_alerts(spark, d):
-    rows = anomaly.signals(anomaly.z_scores(anomaly.hourly_volume(_observations(spark, d))))
-    return rows.select("dedup_key", "observed", F.round("z", 6).alias("z"), "severity")
+    rows = anomaly.signals(anomaly.z_scores(anomaly.hourly_volume(_cells(spark, d))))
+    return rows.select("dedup_key", "observed", F.round("z", 6).alias("z"), "severity", "title", "detail")
 
 
 @query(f"WITH {_O}, {_VOLUME} SELECT category, grid_cell, count(*) AS sample_count, round(avg(observed), 6) AS mean, round(var_pop(observed) * count(*), 5) AS m2, max(bucket_s) AS last_s FROM h GROUP BY 1, 2")
 def baseline_state(spark, d):
-    rows = anomaly.baselines_after(anomaly.hourly_volume(_observations(spark, d)))
+    rows = anomaly.baselines_after(anomaly.hourly_volume(_cells(spark, d)))
     return rows.select("category", "grid_cell", "sample_count", F.round("mean", 6).alias("mean"), F.round("m2", 5).alias("m2"), F.unix_seconds("last_bucket_at").alias("last_s"))
 
 
@@ -365,7 +400,7 @@ def idempotent_dedup(spark, d):
 @query(f"WITH {_O} SELECT source_id, category, count(*) AS n, count(lat) AS located, count(*) - count(lat) AS unlocated FROM o GROUP BY 1, 2")
 def draft_profile(spark, d):
     located = F.count("lat")
-    return _observations(spark, d).groupBy("source_id", "category").agg(F.count(F.lit(1)).alias("n"), located.alias("located"), (F.count(F.lit(1)) - located).alias("unlocated"))
+    return _observations(spark, d, "source_id", "category", "lat").groupBy("source_id", "category").agg(F.count(F.lit(1)).alias("n"), located.alias("located"), (F.count(F.lit(1)) - located).alias("unlocated"))
 
 
 @query("SELECT count(*) FILTER (WHERE id IS NULL OR title IS NULL) AS missing, count(*) FILTER (WHERE abs(lat) > 90 OR abs(lon) > 180) AS out_of_range, count(*) - count(DISTINCT id) AS repeated, count(*) FILTER (WHERE occurred_at IS NULL) AS undated FROM observations")
@@ -384,7 +419,7 @@ def draft_invariants(spark, d):
 def fire_grid_binning(spark, d):
     from .sources.feeds import bin_detections
 
-    rows = _observations(spark, d).where("category = 'wildfire' and lat is not null and lon is not null and severity > 0")
+    rows = _observations(spark, d, "lat", "lon", "severity", "occurred_at", where=F.expr("category = 'wildfire' and lat is not null and lon is not null and severity > 0"))
     binned = bin_detections(rows.select("lat", "lon", F.col("severity").alias("frp"), "occurred_at"), 0.25, 50)
     return binned.select(F.col("row").alias("r"), F.col("column").alias("c"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.col("power").cast("bigint").alias("power"), "n")
 
@@ -442,7 +477,7 @@ SELECT id, CASE WHEN prior IS NULL OR strength = 'none' THEN inferred WHEN stren
  round(CASE WHEN prior IS NULL OR strength = 'none' THEN c WHEN strength = 'authoritative' THEN greatest(c, 0.9) WHEN prior = inferred THEN least(1, c + 0.15) WHEN c < 0.35 THEN 0.4 ELSE c END, 6) AS confidence FROM p"""
 )
 def prior_blend(spark, d):
-    o = _observations(spark, d)
+    o = _observations(spark, d, "source_id", "category", "category_confidence", "severity")
     source = F.col("source_id")
     strength = F.when(source.isin("quake.lattice", "storm.eastgrid", "fire.skylook"), "authoritative").when(source == "wire.meridian", "weak").otherwise("none")
     inferred = F.when(F.col("severity") > 50, "seismic").otherwise("health")
@@ -451,7 +486,7 @@ def prior_blend(spark, d):
 
 
 @query(
-    f"""WITH {_O}, i AS (SELECT id FROM o WHERE occurred_at >= TIMESTAMPTZ '2025-03-10 00:00:00+00' AND occurred_at < TIMESTAMPTZ '2025-03-17 00:00:00+00'),
+    f"""WITH {_O}, i AS (SELECT id FROM o WHERE occurred_at >= TIMESTAMPTZ '2025-03-01 00:00:00+00' AND occurred_at < TIMESTAMPTZ '2025-03-31 00:00:00+00'),
 m AS (SELECT observation_id, entity_id, max(mentions) AS mentions FROM observation_entities WHERE entity_id IS NOT NULL AND observation_id IN (SELECT id FROM i) GROUP BY 1, 2),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY mentions DESC, entity_id) AS k FROM m) WHERE k <= 8),
 s AS (SELECT entity_id, count(*) AS n FROM b GROUP BY 1), t AS (SELECT count(DISTINCT observation_id) AS total FROM b),
@@ -461,7 +496,7 @@ FROM c JOIN s a ON a.entity_id = source JOIN s z ON z.entity_id = target, t"""
 )
 def entity_pairs_npmi(spark, d):
     at = lambda day: F.lit(f"2025-03-{day} 00:00:00").cast("timestamp")
-    edges = entities.co_occurrence_edges(load(spark, d, "observation_entities"), _observations(spark, d), at("10"), at("17"))
+    edges = entities.co_occurrence_edges(load(spark, d, "observation_entities"), _observations(spark, d, "occurred_at"), at("01"), at("31"))
     return edges.withColumn("npmi", F.round("npmi", 6))
 
 
@@ -521,25 +556,27 @@ def nearest_place(spark, d):
 
 @query()
 def resolved_locations(spark, d):
-    """Places of the observations by title and hint alone, with the step of the ladder that decided."""
+    """Place of every observation by the whole ladder: its own coordinates, hint, title, body, country."""
     places = load(spark, d, "places")
-    countries = places.select(F.col("country_code").alias("iso2"), F.lit(None).cast("string").alias("iso3"), F.lit(None).cast("string").alias("fips"), F.col("country_name").alias("name")).distinct()
-    o = _observations(spark, d).select("id", "title", "body", F.col("place_name").alias("place_hint"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "geo_precision", F.lit(None).cast("string").alias("country_code"), F.lit(None).cast("string").alias("fips"))
-    return gazetteer.resolve_locations(o, places, countries).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
+    countries = places.select(F.col("country_code").alias("iso2"), F.lit(None).cast("string").alias("iso3"), F.col("country_code").alias("fips"), F.col("country_name").alias("name")).distinct()
+    o = _observations(spark, d, "title", "body", "place_name", "lat", "lon", "geo_precision", "country_code").withColumnRenamed("place_name", "place_hint").withColumn("fips", F.col("country_code"))
+    return gazetteer.resolve_locations(o, places, countries)
 
 
 @query()
 def entity_extract(spark, d):
-    """Entities of the observations' titles by the default extractor."""
-    found = entities.extract_entities(_observations(spark, d), "id", "title", None, gazetteer.place_names(load(spark, d, "places")))
-    return found.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("entity_key").alias("keys"))
+    """Entities of the titles and bodies of all observations by the default extractor."""
+    o = _observations(spark, d, "title", "body").select("id", F.concat_ws(". ", "title", "body").alias("text"))
+    places = load(spark, d, "places")
+    countries = places.select(F.col("country_code").alias("iso2"), F.col("country_name").alias("name")).distinct()
+    return entities.extract_entities(o, "id", "text", None, gazetteer.known_names(places, countries)).select("id", "entity_key", "surface", "kind", "mentions", "confidence")
 
 
 @query()
 def online_clusters(spark, d):
     """Events by sequential assignment of all enriched observations."""
     vectors = load(spark, d, "enrichments").groupBy(F.col("observation_id").alias("id")).agg(F.min("embedding").alias("embedding"))
-    o = _observations(spark, d).join(vectors, "id")
+    o = _observations(spark, d, "category", "lat", "lon", "geo_precision", "country_code", "occurred_at").join(vectors, "id")
     return events.cluster_online(o).groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))
 
 

@@ -214,7 +214,7 @@ def cluster_online(observations: DataFrame, block: list[str] | None = None) -> D
     return ordered.mapInPandas(run, "observation_id string, event_id string, similarity double")
 
 
-def recompute(links: DataFrame, observations: DataFrame, now: Column, editorial: list[str] | None = None, synthetic: list[str] | None = None) -> DataFrame:
+def recompute(links: DataFrame, observations: DataFrame, now: Column, editorial: list[str] | None = None, synthetic: list[str] | None = None, curves: dict | None = None) -> DataFrame:
     """One row per event from its members; ties fall to the earlier, then the smaller id.
 
     ``links``: event_id, observation_id; ``observations``: id and the columns of the model. The peak, the member of the highest
@@ -247,7 +247,7 @@ def recompute(links: DataFrame, observations: DataFrame, now: Column, editorial:
     peak = lambda c: F.col(f"peak.{c}")
     precision = F.coalesce("best_place.geo_precision", F.lit("unknown"))
     tone, magnitude = (F.when(~F.isnan(peak(c)), peak(c)) for c in ("tone", "magnitude"))
-    rescored = score.observation(peak("source_id"), F.col("category"), F.coalesce(peak("category_confidence"), F.lit(0.0)), magnitude, tone, peak("report_count"), precision, F.col("source_count"))
+    rescored = score.observation(peak("source_id"), F.col("category"), F.coalesce(peak("category_confidence"), F.lit(0.0)), magnitude, tone, peak("report_count"), precision, F.col("source_count"), curves)
     return (
         out.withColumns({"velocity": speed, "centre": centre, "score": rescored})
         .withColumn("status", score.status(F.col("last_seen_at"), F.col("velocity"), now))

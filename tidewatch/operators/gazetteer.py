@@ -15,6 +15,16 @@ BARE_CITY = 200_000
 NAME_RADIUS_KM = {"exact": 100.0, "city": 200.0, "admin1": 600.0}
 BODY_CHARACTERS = 600
 CANDIDATES_A_NAME = 12
+#: Inhabitants from which a place overrules what an extractor takes a name for.
+KNOWN_CITY = 100_000
+# What countries are called in reports, by their code.
+COUNTRY_ALIASES = {
+    "US": "united states, united states of america, usa, america, the us, u s", "GB": "united kingdom, uk, britain, great britain, england, scotland, wales, northern ireland", "KR": "south korea", "KP": "north korea", "ZA": "south africa",
+    "SS": "south sudan", "RU": "russia, russian federation", "IR": "iran", "SY": "syria", "VN": "vietnam", "LA": "laos, laosia", "MM": "myanmar, burma", "TZ": "tanzania", "VE": "venezuela", "BO": "bolivia", "MD": "moldova", "CZ": "czechia, czech republic",
+    "TR": "turkiye, turkey", "CI": "ivory coast, cote divoire", "CV": "cape verde", "CD": "democratic republic of the congo, dr congo, congo", "CG": "republic of the congo", "PS": "palestine, gaza, gaza strip, west bank", "NL": "the netherlands, holland",
+    "MK": "macedonia, north macedonia", "SZ": "eswatini, swaziland", "TW": "taiwan", "HK": "hong kong", "AE": "united arab emirates, uae", "SA": "saudi arabia", "LK": "sri lanka", "NZ": "new zealand", "PG": "papua new guinea", "CR": "costa rica",
+    "DO": "dominican republic", "SV": "el salvador", "PR": "puerto rico", "BN": "brunei", "TL": "east timor, timor leste",
+}
 
 
 def read_places(lines: DataFrame) -> DataFrame:
@@ -49,6 +59,34 @@ def place_names(places: DataFrame) -> DataFrame:
     return names.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= CANDIDATES_A_NAME)
 
 
+def known_names(places: DataFrame, countries: DataFrame) -> DataFrame:
+    """``norm`` of the names that overrule an extractor: countries, and places of at least KNOWN_CITY inhabitants (the first of a name counts)."""
+    large = place_names(places).where((F.col("rank") == 1) & (F.col("population") >= KNOWN_CITY)).select("norm")
+    return large.unionByName(country_names(countries).select("norm")).distinct()
+
+
+def country_names(countries: DataFrame) -> DataFrame:
+    """``norm`` and ``land`` (two letters) of countries by their names, then by what they are called in reports; no alias hides a name."""
+    spark = countries.sparkSession
+    own = countries.select(text.normalize_key(F.col("name")).alias("norm"), F.col("iso2").alias("land"), F.lit(0).alias("o")).where("norm <> ''")
+    called = spark.createDataFrame([(alias, code, 1) for code, names in COUNTRY_ALIASES.items() for alias in names.split(", ")], "norm string, land string, o int")
+    listed = called.join(countries.select(F.col("iso2").alias("land")).distinct(), "land", "left_semi").select("norm", "land", "o")
+    return own.unionByName(listed).groupBy("norm").agg(F.min_by("land", F.struct("o", "land")).alias("land"))
+
+
+def statistics(places: DataFrame, countries: DataFrame) -> DataFrame:
+    """One row: number of places, of distinct names and of countries."""
+    one = F.lit(1).alias("one")
+    counted = places.agg(F.count(F.lit(1)).alias("places"), one)
+    names = place_names(places).agg(F.count_distinct("norm").alias("names"), one)
+    return counted.join(names, "one").join(countries.where("iso2 <> ''").agg(F.count_distinct("iso2").alias("countries"), one), "one").drop("one")
+
+
+def places_in_text(df: DataFrame, key: str, column: str, names: DataFrame, countries: DataFrame) -> DataFrame:
+    """``key`` and ``place`` of the texts that name a place; those that name only a country give no row."""
+    return scan_text(df, key, column, names, countries).where("kind = 'place'").select(key, "place")
+
+
 def find_places(df: DataFrame, key: str, name: str, country: str | None, names: DataFrame) -> DataFrame:
     """``key`` and ``place`` (a struct) for the names that are known: in the preferred country if it has one."""
     columns = ["geoname_id", "name", "lat", "lon", "country_code", "population"]
@@ -89,7 +127,7 @@ def scan_text(df: DataFrame, key: str, column: str, names: DataFrame, countries:
     found = words.select(key, F.explode(spans(F.col("w"))).alias("s")).select(key, "s.at", "s.n", "s.norm")
     place = F.struct("geoname_id", "name", "lat", "lon", "country_code", "population")
     top = names.where("rank = 1").select("norm", "is_primary", "population", place.alias("place"))
-    lands = countries.select(text.normalize_key(F.col("name")).alias("norm"), F.col("iso2").alias("land")).where("norm <> ''").dropDuplicates(["norm"])
+    lands = country_names(countries)
     hits = found.join(top, "norm", "left").join(lands, "norm", "left").where("place is not null or land is not null")
     many = F.when(F.col("place").isNotNull() & F.col("is_primary") & (F.col("n") > 1), F.struct("n", -F.col("at")))
     bare = F.when(F.col("place").isNotNull() & (F.col("n") == 1) & (F.col("population") >= BARE_CITY) & ~F.col("norm").isin(text.STOPWORDS), F.struct("population", -F.col("at")))
