@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,24 +19,30 @@ from .tables import load
 
 NOW = datetime(2025, 3, 28)
 _NOW = "TIMESTAMPTZ '2025-03-28 00:00:00+00'"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
 
 
-def _now():
-    return F.lit("2025-03-28 00:00:00").cast("timestamp")
+def registry() -> tuple[dict, dict[str, str], Callable]:
+    """(queries, their SQL, decorator that registers a query under its function's name, with its SQL if it has one)."""
+    queries: dict = {}
+    texts: dict[str, str] = {}
+
+    def query(sql: str | None = None):
+        def register(f):
+            queries[f.__name__] = f
+            if sql is not None:
+                texts[f.__name__] = sql
+            return f
+
+        return register
+
+    return queries, texts, query
 
 
-def query(sql: str | None = None):
-    """Registers a query under its function's name, with its SQL if it has one."""
+QUERIES, SQL, query = registry()
 
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
 
-    return register
+def _now():
+    return F.lit("2025-03-28 00:00:00").cast("timestamp")
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -578,15 +585,3 @@ def online_clusters(spark, d):
     vectors = load(spark, d, "enrichments").groupBy(F.col("observation_id").alias("id")).agg(F.min("embedding").alias("embedding"))
     o = _observations(spark, d, "category", "lat", "lon", "geo_precision", "country_code", "occurred_at").join(vectors, "id")
     return events.cluster_online(o).groupBy("event_id").agg(F.count(F.lit(1)).alias("members"))
-
-
-@query()
-def best_event_match(spark, d):
-    """Best other event of every event by match_candidates, with its threshold and all its factors; impossible coordinates are no location."""
-    columns = ["id", "centroid", "category", "lat", "lon", "geo_precision", "country_code"]
-    e = _events(spark, d)
-    located = (F.abs("lat") <= 90) & (F.abs("lon") <= 360) & ~((F.col("lat") == 0) & (F.col("lon") == 0))
-    e = e.withColumns({c: F.when(located, F.col(c)) for c in ("lat", "lon")})
-    subjects = e.select(*columns, F.col("first_seen_at").alias("occurred_at")).withColumnRenamed("centroid", "embedding")
-    best = events.match_candidates(subjects, e.select(*columns, "last_seen_at"), others=True)
-    return best.select("subject_id", "event_id", F.round("similarity", 6).alias("similarity"), F.round("adjusted", 6).alias("adjusted"))

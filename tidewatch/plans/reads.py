@@ -17,6 +17,8 @@ from ..model import CATEGORIES, GROUPS, group_of
 
 #: Events that are live for the dashboard, and those drawn at most.
 LIST_DEFAULT, LIST_MOST = 200, 2000
+# Windows in hours and least severities that the dashboard offers.
+WINDOW_PRESETS, SEVERITY_PRESETS = [6, 24, 72, 168], [0, 30, 50, 70]
 
 
 @dataclass(frozen=True)
