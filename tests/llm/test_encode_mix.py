@@ -82,6 +82,18 @@ def test_nothing_to_mix(spark):
 
 
 def test_sizing_ignores_what_has_no_tokens(spark):
-    docs = spark.createDataFrame([(1, "a", "one two"), (2, "a", None), (3, "a", ""), (4, None, "x"), (5, "z", "x")], "doc_id bigint, source string, text string")
+    docs = spark.createDataFrame([(1, "a", "one two"), (1, "a", "one two"), (1, "a", "one"), (2, "a", None), (3, "a", ""), (4, None, "x"), (5, "z", "x")], "doc_id bigint, source string, text string")
     out = mixing.size_documents(docs, spark.createDataFrame([("a", 1.0, 1)], TARGETS)).collect()
     assert [(r["doc_id"], r["n_tokens"]) for r in out] == [(1, 2)]
+
+
+def test_rare_words_fill_their_holes(spark, monkeypatch):
+    """Whatever counts as frequent, ids and counts are the same."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id bigint, text string")
+    want = reference(TEXTS)
+    for share in (0, 3, 10_000):
+        monkeypatch.setattr(encode, "HOT_SHARE", share)
+        got = {r["doc_id"]: r["ids"] for r in encode.encode_texts(df, "doc_id", "text").collect()}
+        assert [got[i] for i in range(len(TEXTS))] == want
+        counts = {r["doc_id"]: r["n_tokens"] for r in encode.count_tokens(df, ["doc_id"], "text").collect()}
+        assert counts == {i: len(w) for i, w in enumerate(want) if w}

@@ -97,7 +97,9 @@ def size_documents(documents: DataFrame, targets: DataFrame, tokenizer: str | No
     if names.limit(MAX_SOURCES + 1).count() > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources to mix")
     mixed = documents.select("doc_id", "source", "text").join(F.broadcast(names), "source")
-    sized = count_tokens(mixed, ["doc_id", "source"], "text", tokenizer)
+    # A document that is delivered again counts once; of differing texts under one id the longest in tokens counts.
+    rows = count_tokens(mixed.withColumn("__row", F.monotonically_increasing_id()), ["doc_id", "source", "__row"], "text", tokenizer)
+    sized = rows.groupBy("doc_id", "source").agg(F.max("n_tokens").alias("n_tokens"))
     return cut_lineage(sized.withColumn("hash", F.xxhash64(F.lit("mix"), "doc_id")))
 
 
