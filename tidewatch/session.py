@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,14 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written_table(df: DataFrame) -> DataFrame:
+    """Like ``cut_lineage``, as a compressed table in the shared checkpoint folder: smaller for wide rows, and columns can be left out on reading."""
+    _ensure_checkpoint_dir(df.sparkSession)
+    folder = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def parallelism(spark: SparkSession) -> int:
     """Number of shuffle partitions that the session is set to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
