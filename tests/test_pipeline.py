@@ -4,8 +4,8 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch import catalogue
-from tidewatch.operators import anomaly, classify, entities, events, gazetteer, rules
+from tidewatch import catalogue, catalogue_pipeline
+from tidewatch.operators import anomaly, classify, entities, events, gazetteer, rules, stages
 from tidewatch.operators.skew import join_hot_cold
 from tidewatch.plans import reads
 
@@ -100,10 +100,10 @@ def test_anomalies_equal_the_running_fold(spark):
 
 
 def observation(i, hours, vector, lat=10.0, lon=10.0, precision="city", country="AA", category="seismic", **kw):
-    return {"id": f"o{i}", "occurred_at": T0 + timedelta(hours=hours), "embedding": vector, "lat": lat, "lon": lon, "geo_precision": precision, "country_code": country, "category": category, "source_id": "s", "title": f"Title {i}", "body": None, "severity": 10 + i, "category_confidence": 0.5, "tone": None, "report_count": 1, "place_name": f"P{i}", **kw}
+    return {"id": f"o{i}", "occurred_at": T0 + timedelta(hours=hours), "embedding": vector, "lat": lat, "lon": lon, "geo_precision": precision, "country_code": country, "category": category, "source_id": "s", "title": f"Title {i}", "body": None, "severity": 10 + i, "category_confidence": 0.5, "magnitude": None, "tone": None, "report_count": 1, "place_name": f"P{i}", **kw}
 
 
-OBS = "id string, occurred_at timestamp, embedding array<double>, lat double, lon double, geo_precision string, country_code string, category string, source_id string, title string, body string, severity int, category_confidence double, tone double, report_count int, place_name string"
+OBS = "id string, occurred_at timestamp, embedding array<double>, lat double, lon double, geo_precision string, country_code string, category string, source_id string, title string, body string, severity int, category_confidence double, magnitude double, tone double, report_count int, place_name string"
 
 
 def test_matching_and_online_clusters_agree(spark):
@@ -136,7 +136,7 @@ def test_match_query_has_the_default_threshold_and_factors(spark, tmp_path):
     rows = [(i, v, "seismic", lat, 10.0, "city", c, T0 + timedelta(hours=h), T0 + timedelta(hours=h)) for i, v, lat, c, h in cases]
     schema = "id string, centroid array<float>, category string, lat double, lon double, geo_precision string, country_code string, first_seen_at timestamp, last_seen_at timestamp"
     spark.createDataFrame(rows + rows[:1], schema).write.parquet(f"{tmp_path}/event_clusters.parquet")
-    got = {r["subject_id"]: (r["event_id"], r["adjusted"]) for r in catalogue.best_event_match(spark, str(tmp_path)).collect()}
+    got = {r["subject_id"]: (r["event_id"], r["adjusted"]) for r in catalogue_pipeline.best_event_match(spark, str(tmp_path)).collect()}
     cos = math.cos(0.9)
     assert {k: v[0] for k, v in got.items()} == {"a": "b", "b": "a", "g": "h", "h": "g"} and got["a"][1] == pytest.approx(cos, abs=1e-5) and got["g"][1] == pytest.approx(0.85 * math.cos(0.1), abs=1e-5)
 
@@ -146,7 +146,10 @@ def test_recompute_and_titles(spark):
     df = spark.createDataFrame(obs, OBS)
     links = spark.createDataFrame([("e", f"o{i}") for i in range(3)], "event_id string, observation_id string")
     r = events.recompute(links, df, F.lit("2025-03-01 04:00:00").cast("timestamp")).first()
-    assert (r["observation_count"], r["source_count"], r["category"], r["country_code"], r["severity"], r["summary"], r["status"], r["place_name"]) == (3, 2, "health", "BB", 90, "A long report.", "active", "P0")
+    assert (r["observation_count"], r["source_count"], r["category"], r["country_code"], r["severity"], r["summary"], r["status"], r["place_name"]) == (3, 2, "health", "BB", 24, "A long report.", "active", "P0")
+    # The peak is scored again: 0.75 * (0.6 * 0.4 + 0.25 * log10(2) / 2 + 0.15 * 0.3); a curve of its own source counts.
+    strong = events.recompute(links, df.withColumn("magnitude", F.lit(1.0)), F.lit("2025-03-01 04:00:00").cast("timestamp"), curves={"s": lambda m: m}).first()
+    assert strong["severity"] == 51 and strong["title"] and strong["grid_cell"] == "5:20:38"
     members = links.join(df.withColumnRenamed("id", "observation_id"), "observation_id")
     assert events.pick_titles(members, [], []).first()["title"] == "x" * 10
     assert events.pick_titles(members.withColumn("title", F.lit(" ")), [], []).first()["title"] == "Unnamed event"
@@ -172,6 +175,47 @@ def test_entities(spark, gaz):
     assert out["a"]["mention_count"] == 5 and out["a"]["name"] == "Ana" and out["a"]["last_seen_at"] == T0 + timedelta(2) and out["b"]["mention_count"] == 1
 
 
+def test_stage_store(spark):
+    rows = [("a", 0, T0, T0 + timedelta(1), None, 1), ("b", None, T0 - timedelta(1), T0, None, 2), ("c", 1, T0, T0, "x", 3), ("d", 2, T0, T0, "x", 4)]
+    df = spark.createDataFrame(rows, "id string, pipeline_stage smallint, ingested_at timestamp, occurred_at timestamp, category string, extra int")
+    assert [r["id"] for r in stages.pending(df, stages.INGESTED).collect()] == ["b", "a"] and stages.backlog(df).first()["n"] == 2 and stages.pending(df, stages.ENRICHED).count() == 1
+    done = stages.apply_enrichment(df, spark.createDataFrame([("a", "seismic"), ("a", "seismic"), ("d", "health"), ("zz", "x")], "id string, category string"))
+    assert {r["id"]: (r["pipeline_stage"], r["category"]) for r in done.collect()} == {"a": (1, "seismic"), "b": (0, None), "c": (1, "x"), "d": (2, "health")} and done.count() == 4
+    edges = "source_entity_id string, target_entity_id string, co_occurrences int, pmi double, last_seen_at timestamp"
+    stored = spark.createDataFrame([("b", "a", 2, 0.1, T0), ("a", "b", 1, 0.2, T0 + timedelta(1)), ("a", None, 1, 0.1, T0), ("c", "d", 1, None, None)], edges)
+    got = {(r[0], r[1]): (r[2], r[3]) for r in stages.upsert_edges(stored, spark.createDataFrame([("a", "b", 4, -0.5, T0)], edges)).collect()}
+    assert got == {("a", "b"): (7, -0.5), ("c", "d"): (1, None)} and stages.upsert_edges(stored.limit(0), stored.limit(0)).count() == 0
+    links = spark.createDataFrame([("o", "e", 1)], "o string, e string, n int")
+    assert sorted(map(tuple, stages.insert_ignore(links, spark.createDataFrame([("o", "e", 9), ("o", "f", 3), ("o", "f", 2)], links.schema), ["o", "e"]).collect())) == [("o", "e", 1), ("o", "f", 2)]
+    assert stages.rederive(df, {"n": stages.backlog})["n"].first()["n"] == 4
+
+
+def test_sources_are_plug_ins(spark):
+    from tidewatch.sources.registry import Source, news_feed, registry, two_letter_codes
+
+    known = registry()
+    assert known.get("rss.un-news").homepage == "https://news.un.org" and "firms.fires" in known.available({})[1] and "firms.fires" in known.available({"FIRMS_MAP_KEY": "k"})[0]
+    with pytest.raises(KeyError):
+        known.get("nothing")
+    known.add(news_feed("rss.mine", "Mine", "https://mine.example", category="health"))
+    payloads = spark.createDataFrame([("<rss><channel><item><title>T</title><guid>g</guid></item></channel></rss>",)], "payload string")
+    (r,) = known.drafts("rss.mine", payloads, F.lit("2025-01-01").cast("timestamp")).collect()
+    assert (r["source_id"], r["category"], r["title"]) == ("rss.mine", "health", "T")
+    known.add(Source("own", "Own", lambda df, now: df))
+    assert known.ids()[-1] == "own" and two_letter_codes(spark.createDataFrame([("PE", "PER"), ("", "X")], "iso2 string, iso3 string")) == {"PER": "PE"}
+
+
+def test_known_names_and_aliases(spark):
+    places = spark.createDataFrame([(1, "Bigtown", "Bigtown", None, 1.0, 1.0, "GB", 100_000), (2, "Smalltown", "Smalltown", None, 1.0, 2.0, "GB", 99_999)], "geoname_id bigint, name string, asciiname string, alternatenames string, lat double, lon double, country_code string, population bigint")
+    countries = spark.createDataFrame([("GB", "United Kingdom"), ("CG", "Congo"), ("CD", "DR Congo proper")], "iso2 string, name string")
+    assert {r[0] for r in gazetteer.known_names(places, countries).collect()} >= {"bigtown", "britain", "united kingdom"} and "smalltown" not in {r[0] for r in gazetteer.known_names(places, countries).collect()}
+    lands = {r["norm"]: r["land"] for r in gazetteer.country_names(countries).collect()}
+    assert lands["scotland"] == "GB" and lands["congo"] == "CG" and lands["dr congo"] == "CD" and "france" not in lands
+    text = spark.createDataFrame([(1, "Rain in Britain"), (2, "Fire near Bigtown Bigtown")], "k int, t string")
+    names = gazetteer.place_names(places)
+    assert gazetteer.scan_text(text, "k", "t", names, countries).where("k = 1").first()["kind"] == "country" and gazetteer.places_in_text(text, "k", "t", names, countries).where("k = 1").count() == 0
+
+
 def test_rules(spark):
     ev = spark.createDataFrame([("e1", "Flood hits crop", None, "severe_weather", 80, 80, 1.0), ("e2", "Quiet", None, "severe_weather", 80, 80, 1.0), ("e3", "x", None, "space", 1, 1, 0.0)], "id string, title string, summary string, category string, severity int, confidence int, velocity double")
     table = [(1, ["severe_weather"], None, "ins", "Insurance", "operations", 70.0, 0.7), (2, ["severe_weather"], "(?i)crop", "agri", "Agriculture", "supply", 75.0, 0.8), (3, ["severe_weather"], None, "ins", "Other", "operations", 70.0, 0.9), (4, ["space"], None, "sat", "Satellites", "operations", 60.0, 0.7)]

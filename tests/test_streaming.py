@@ -67,6 +67,35 @@ def test_late_corrections_equal_the_batch(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_late_hours_read_the_touched_blocks_only(spark, tmp_path):
+    """Three days in order, then a late record for the third: the batch starts from the state after the second day."""
+    import shutil
+
+    day = lambda n, names: [(f"{x}{n}", "s", f"{x}{n}", T0 + timedelta(days=n, minutes=i), T0 + timedelta(days=n, minutes=i + 1), "c", "g0", 10) for i, x in enumerate(names)]
+    late = [("late", "s", "late", T0 + timedelta(days=2, hours=3), T0 + timedelta(days=2, hours=6), "c", "g0", 10)]
+    parts = [day(0, "ab"), day(1, "abc"), day(2, "a"), late]
+    sink = jobs.corrected_hours_sink(spark, str(tmp_path / "log"), str(tmp_path / "out"))
+    for i, part in enumerate(parts):
+        sink(spark.createDataFrame(part, SCHEMA), i)
+        if i == 2:
+            # What lies before the block isn't needed any more.
+            for n in (0, 1):
+                shutil.rmtree(tmp_path / "log" / f"batch={n}")
+    sink(spark.createDataFrame(parts[3], SCHEMA), 3)
+    want = hourly_counts(spark.createDataFrame(sum(parts, []), SCHEMA)).select("category", "grid_cell", "period", "count", "n_periods", "running", "sum_sq")
+    assert sorted(map(tuple, jobs.latest_hours(spark, str(tmp_path / "out")).select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    sink(spark.createDataFrame([], SCHEMA), 4)
+
+
+def test_graceful_stop(spark, tmp_path):
+    write_batches(spark, rows(20), tmp_path / "in", 1)
+    done = []
+    query = jobs.start(jobs.read_stream(spark, str(tmp_path / "in"), SCHEMA), str(tmp_path / "cp"), once=False, every="1 second").foreachBatch(lambda df, n: done.append(df.count())).start()
+    while not done:
+        query.awaitTermination(1)
+    assert jobs.stop_gracefully(spark) == [] and not query.isActive and sum(done) == 20
+
+
 def test_windows_compile(spark, tmp_path):
     write_batches(spark, rows(60), tmp_path / "in", 2)
     stream = jobs.read_stream(spark, str(tmp_path / "in"), SCHEMA)

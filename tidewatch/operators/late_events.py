@@ -74,13 +74,14 @@ def period_counts(df: DataFrame, keys: list[str], event_time: str, arrival: str,
     )
 
 
-_STATE = ["n_periods", "running", "sum_sq", "last_period"]
+#: What is kept of a key: number of periods, records, sum of squared counts, latest period.
+STATE = ["n_periods", "running", "sum_sq", "last_period"]
 
 
-def _replay(counts: DataFrame, keys: list[str], value: str, restored: list[str] | None) -> DataFrame:
+def replay(counts: DataFrame, keys: list[str], value: str, restored: list[str] | None) -> DataFrame:
     """The state after each period, in order, starting from the restored one (or from nothing)."""
     along = Window.partitionBy(*keys).orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    start = {c: F.coalesce(F.col(r), F.lit(0)) for c, r in zip(_STATE, restored)} if restored else {c: F.lit(0) for c in _STATE}
+    start = {c: F.coalesce(F.col(r), F.lit(0)) for c, r in zip(STATE, restored)} if restored else {c: F.lit(0) for c in STATE}
     v = F.col(value)
     return counts.select(
         *keys,
@@ -106,8 +107,8 @@ def corrected_periods(counts: DataFrame, keys: list[str], lateness: Lateness) ->
     seen = counts.where("on_time + late > 0").withColumn("block", block)
 
     on_time = seen.where("on_time > 0")
-    first_pass = _replay(on_time, keys, "on_time", None).withColumn("block", block)
-    checkpoints = first_pass.groupBy(*keys, "block").agg(F.max_by(F.struct(*_STATE), "period").alias("state"))
+    first_pass = replay(on_time, keys, "on_time", None).withColumn("block", block)
+    checkpoints = first_pass.groupBy(*keys, "block").agg(F.max_by(F.struct(*STATE), "period").alias("state"))
 
     dirty = seen.where("late > 0").groupBy(*keys).agg(F.min("block").alias("from_block"))
     kept = first_pass.join(dirty, keys, "left").where("from_block is null or block < from_block")
@@ -116,11 +117,11 @@ def corrected_periods(counts: DataFrame, keys: list[str], lateness: Lateness) ->
         .where("block < from_block")
         .groupBy(*keys)
         .agg(F.max_by("state", "block").alias("state"))
-        .select(*keys, *[F.col(f"state.{c}").alias(f"r_{c}") for c in _STATE])
+        .select(*keys, *[F.col(f"state.{c}").alias(f"r_{c}") for c in STATE])
     )
     suffix = seen.join(dirty, keys).where("block >= from_block").withColumn("accepted", F.col("on_time") + F.col("late"))
-    replayed = _replay(suffix.join(restored, keys, "left"), keys, "accepted", [f"r_{c}" for c in _STATE])
-    out = [*keys, "period", "count", *_STATE]
+    replayed = replay(suffix.join(restored, keys, "left"), keys, "accepted", [f"r_{c}" for c in STATE])
+    out = [*keys, "period", "count", *STATE]
     return kept.select(*out, F.lit(False).alias("replayed")).unionByName(replayed.select(*out, F.lit(True).alias("replayed")))
 
 

@@ -57,6 +57,9 @@ _WEEKDAY = r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*\.?,? "
 _DIGITS = r"^(\d{10}|\d{13}|\d{16}|\d{19})$"
 _OFFSET = r"^(?:utc|gmt|ut)? ?([+\-−])(\d{1,2}):?(\d{2})?(?::?(\d{2}))?(?: ?(?:\[.*\]|\(.*\)))?$"
 
+#: Names of time zones that sources may have.
+MAX_ZONES = 1_000
+
 
 @functools.lru_cache(maxsize=1024)
 def zone_transitions(name: str) -> tuple[tuple[int, int, str], ...]:
@@ -270,8 +273,11 @@ def normalise_timestamps(df: DataFrame, value: str, zone: str, date_order: str,
 
 
 def source_zones(sources: DataFrame) -> list[str]:
-    """Distinct zone names; bounded by the IANA data base, so they may be collected."""
-    return [r[0] for r in sources.select("zone_name").where(F.col("zone_name").isNotNull()).distinct().collect()]
+    """Distinct zone names, MAX_ZONES at most; more can't all be of the IANA data base."""
+    rows = sources.select("zone_name").where(F.col("zone_name").isNotNull()).distinct().limit(MAX_ZONES + 1).collect()
+    if len(rows) > MAX_ZONES:
+        raise ValueError(f"more than {MAX_ZONES} time zones")
+    return [r[0] for r in rows]
 
 
 def stamped_records(feed_items: DataFrame, reliefweb_items: DataFrame, event_details: DataFrame) -> DataFrame:

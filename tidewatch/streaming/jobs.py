@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import signal
+import time
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.late_events import Lateness, corrected_periods, first_deliveries, period_counts
+from ..operators.late_events import STATE, Lateness, first_deliveries, period_counts, replay
 
 KEYS = ["category", "grid_cell"]
 
@@ -80,31 +83,59 @@ def running_baselines(volume: DataFrame, min_samples: int = 12, min_z: float = 3
     return rows.groupBy(*KEYS).applyInPandasWithState(fold, schema, "n bigint, mean double, m2 double, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def corrected_hours_sink(spark: SparkSession, log: str, target: str, lateness: Lateness = Lateness()):
-    """foreachBatch function: appends a batch to the log and replaces the corrected hours of the keys that it touches.
+#: Folders by key hash that the log and the states are cut into.
+PARTS = 64
 
-    The log holds one folder a batch id, so a batch that is run again overwrites itself. Only touched keys are
-    read back and replayed; their partitions of the target are written anew.
+
+def corrected_hours_sink(spark: SparkSession, log: str, target: str, lateness: Lateness = Lateness(), state: str | None = None):
+    """foreachBatch function: appends a batch to the log and replaces the corrected hours from each key's earliest touched block on.
+
+    Log and states are cut by key hash and by block (``lateness.checkpoint_periods`` periods); at the end of every block the state of a
+    key is stored. A batch reads the log of its own key hashes from its earliest block on, restores each key's last state before
+    that, replays the sorted suffix and writes hours and states under the batch's id, so a batch that is run again overwrites itself. Deliveries
+    of one record are taken to lie in one block. Rows with a null key or event time count nowhere.
     """
+    state = state or f"{target}_state"
+    step = lateness.period_us * lateness.checkpoint_periods
+    saved = ", ".join(["category string, grid_cell string", *(f"{c} bigint" for c in STATE), "version bigint, part bigint, block bigint"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
-        everything = spark.read.parquet(log).drop("batch")
-        touched = batch.select(*KEYS).where("grid_cell is not null").distinct()
-        again = everything.join(touched, KEYS, "left_semi")
-        once = first_deliveries(again, ["source_id", "external_id"], "ingested_at")
-        counts = period_counts(once, KEYS, "occurred_at", "ingested_at", lateness)
-        hours = corrected_periods(counts, KEYS, lateness).withColumn("part", F.pmod(F.xxhash64(*KEYS), F.lit(64)))
-        hours.withColumn("version", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/version={batch_id}")
+        placed = batch.dropna(subset=[*KEYS, "occurred_at"]).withColumns({"part": F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)), "block": F.floor(F.unix_micros("occurred_at") / step)})
+        placed.write.mode("overwrite").partitionBy("part", "block").parquet(f"{log}/batch={batch_id}")
+        placed = spark.read.schema(placed.schema).option("basePath", f"{log}/batch={batch_id}").parquet(f"{log}/batch={batch_id}")
+        touched = placed.groupBy("part", *KEYS).agg(F.min("block").alias("from_block"))
+        # One row a key hash, PARTS at most; they prune the folders that are read.
+        firsts = {r["part"]: r["b"] for r in touched.groupBy("part").agg(F.min("from_block").alias("b")).collect()}
+        if not firsts:
+            return
+        everything = spark.read.option("basePath", log).schema(T.StructType([*placed.schema.fields, T.StructField("batch", T.LongType())])).parquet(log)
+        near = everything.where(F.col("part").isin(list(firsts)) & (F.col("block") >= min(firsts.values())))
+        suffix = near.join(touched, ["part", *KEYS]).where("block >= from_block").drop("batch", "part", "block", "from_block")
+        once = first_deliveries(suffix, ["source_id", "external_id"], "ingested_at")
+        counts = period_counts(once, KEYS, "occurred_at", "ingested_at", lateness).withColumn("accepted", F.col("on_time") + F.col("late")).where("accepted > 0")
+        older = spark.read.schema(saved).parquet(state) if batch_id and _exists(spark, state) else spark.createDataFrame([], saved)
+        before = older.where(F.col("part").isin(list(firsts)) & (F.col("block") < max(firsts.values())) & (F.col("version") < batch_id)).join(touched, ["part", *KEYS]).where("block < from_block")
+        # Of a block the state of the last batch that wrote it counts, of a key that of its last block.
+        restored = before.groupBy(*KEYS).agg(F.max_by(F.struct(*STATE), F.struct("block", "version")).alias("r")).select(*KEYS, *[F.col(f"r.{c}").alias(f"r_{c}") for c in STATE])
+        hours = replay(counts.join(restored, KEYS, "left"), KEYS, "accepted", [f"r_{c}" for c in STATE])
+        hours = hours.withColumns({"part": F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)), "block": F.floor(F.col("period") / step)})
+        hours.drop("block").write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={batch_id}")
+        ends = hours.groupBy("part", "block", *KEYS).agg(F.max_by(F.struct(*STATE), "period").alias("s")).select(*KEYS, *[f"s.{c}" for c in STATE], "part", "block")
+        ends.write.mode("overwrite").partitionBy("part", "block").parquet(f"{state}/version={batch_id}")
 
     return run
 
 
+def _exists(spark: SparkSession, folder: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def latest_hours(spark: SparkSession, target: str) -> DataFrame:
-    """Corrected hours: of every key those of the last batch that touched it."""
-    rows = spark.read.parquet(target)
-    last = rows.groupBy(*KEYS).agg(F.max("version").alias("version"))
-    return rows.join(last, [*KEYS, "version"], "left_semi").drop("version", "part")
+    """Corrected hours: every hour as the last batch that replayed it wrote it."""
+    rows = spark.read.parquet(target).drop("part")
+    values = [c for c in rows.columns if c not in (*KEYS, "period", "version")]
+    return rows.groupBy(*KEYS, "period").agg(F.max_by(F.struct(*values), "version").alias("r")).select(*KEYS, "period", "r.*")
 
 
 def start(df: DataFrame, checkpoint: str, once: bool = True, every: str = "30 seconds", mode: str = "append") -> DataStreamWriter:
@@ -155,3 +186,27 @@ def assignment_sink(spark: SparkSession, state: str, target: str, max_gap_hours:
         done.unpersist()
 
     return run
+
+
+def stop_gracefully(spark: SparkSession, seconds: float = 60.0) -> list[str]:
+    """Stops the running queries, each after the batch that it is at; names of those that had to be cut off after ``seconds``."""
+    deadline, cut = time.monotonic() + seconds, []
+    for query in spark.streams.active:
+        while query.isActive and query.status["isTriggerActive"] and time.monotonic() < deadline:
+            time.sleep(0.1)
+        if query.isActive and query.status["isTriggerActive"]:
+            cut.append(query.name or str(query.id))
+        query.stop()
+    return cut
+
+
+def stop_on_signal(spark: SparkSession, seconds: float = 60.0) -> None:
+    """The first SIGINT or SIGTERM stops gracefully; a second one ends the process as usual."""
+
+    def first(number, frame):
+        for s in (signal.SIGINT, signal.SIGTERM):
+            signal.signal(s, signal.SIG_DFL)
+        stop_gracefully(spark, seconds)
+
+    for s in (signal.SIGINT, signal.SIGTERM):
+        signal.signal(s, first)
