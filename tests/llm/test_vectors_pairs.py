@@ -41,6 +41,45 @@ def test_neighbours_against_brute_force(spark, part_rows):
     assert hits / sum(map(len, want.values())) >= 0.97 and all(len(v) <= 5 for v in got.values()) and not set(got) & {f"n{i}" for i in range(1, 7)}
 
 
+def test_a_query_sees_few_entries(spark, monkeypatch):
+    """Of 6,000 vectors a query sees less than 5 % and still finds nine of ten neighbours."""
+    monkeypatch.setattr(vectors, "SMALLEST_PART", 500)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(400, 16))
+    data = {f"v{i:05d}": centres[i % 400] + 0.15 * rng.normal(size=16) for i in range(6_000)}
+    seen = []
+    index = vectors.MultiIndex
+    original = index.visit
+
+    def counting(self, units, min_entries):
+        cells = original(self, units, min_entries)
+        seen.extend(sum(int(self.counts[c]) for c in visited) for visited in cells)
+        return cells
+
+    df = spark.createDataFrame([(k, [float(np.float32(x)) for x in v]) for k, v in data.items()], "id string, v array<float>")
+    got: dict = {}
+    for r in vectors.similar_vectors(df, "id", "v", width=16, min_entries=150).collect():
+        got.setdefault(r["id"], set()).add(r["other"])
+    want = {k: set(v) for k, v in brute(data, 5, 0.9).items() if v}
+    assert sum(len(got.get(k, set()) & v) for k, v in want.items()) >= 0.9 * sum(map(len, want.values()))
+    # What a query sees is counted on an index of the same kind.
+    units = np.array(list(data.values()))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    books = [vectors._kmeans(units[:, h], 11) for h in (slice(0, 8), slice(8, 16))]
+    own = index(16, *books)
+    first, second = own.split(units)
+    np.add.at(own.counts, (first.argmin(1), second.argmin(1)), 1)
+    counting(own, units[:500], 150)
+    assert np.mean(seen) < 0.05 * len(data)
+
+
+def test_partitions_are_runs_of_cells():
+    own = vectors.MultiIndex(4, np.zeros((3, 2)), np.zeros((3, 2)))
+    own.counts = np.array([[5, 0, 4], [30, 2, 2], [1, 1, 0]])
+    part, slices = own.partitions(10)
+    assert part[0, 0] == part[0, 2] and part[1, 0] not in (part[0, 2], part[1, 1]) and part[1, 1] == part[2, 1] and slices[part[1, 0]] == 3 and slices[part[0, 0]] == 1 == slices[part[2, 1]]
+
+
 def test_copies_of_any_number(spark):
     rows = [(f"c{i:03d}", [1.0, 2.0, 3.0, 4.0]) for i in range(40)] + [("near", [1.0, 2.0, 3.0, 4.1]), ("far", [-1.0, 2.0, -3.0, 0.0]), ("double", [2.0, 4.0, 6.0, 8.2])]
     got: dict = {}

@@ -6,9 +6,9 @@ of summed squared distance, by a heap over the two sorted centroid lists, until
 entries; all entries of the visited cells are ranked by exact cosine similarity. Nothing
 within a visited cell is cut.
 
-Plan: exact copies are collapsed to one representative; the index is partitioned by the first
-centroid (split further where one is heavy), a query goes once to each partition that holds cells it
-visits, and the products are taken cell by cell.
+Plan: exact copies are collapsed to one representative; cells that follow one another are grouped into partitions of the index of
+about equal size, a query goes once to each partition that holds cells it visits, and the products are taken cell by cell. Only a
+single cell that is larger than a partition is cut on both sides.
 """
 
 from __future__ import annotations
@@ -22,16 +22,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 
 #: Vectors that the codebooks are fitted on; a bound.
 SAMPLE_ROWS = 20_000
 #: Entries a query sees at least in a collection of up to 100,000; in larger ones more, by the
-#: square root of the size, as neighbours spread over more cells. Cells it visits at most.
+#: square root of the size, as neighbours spread over more cells.
 MIN_ENTRIES = 4_000
-MAX_CELLS = 2_000
+#: Centroids of a codebook at most: the table of cells has their square. Larger collections have fuller cells.
+MAX_CENTROIDS = 1_024
 #: Vectors of one partition of the index.
 PART_ROWS = 20_000
+SMALLEST_PART = 2_000
 
 
 def usable_vector(vector: Column, width: int) -> Column:
@@ -73,7 +75,22 @@ class MultiIndex:
     def split(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return _distances(units[:, : self.half], self.books[0]), _distances(units[:, self.half :], self.books[1])
 
-    def visit(self, units: np.ndarray, min_entries: int, max_cells: int) -> list[list[tuple[int, int]]]:
+    def partitions(self, part_rows: int) -> tuple[np.ndarray, np.ndarray]:
+        """(partition of every cell, slices of every partition): runs of cells with up to ``part_rows`` entries; a fuller cell is one by itself."""
+        flat = self.counts.ravel()
+        part, slices = np.zeros(len(flat), np.int32), [1]
+        held = 0
+        for cell in np.flatnonzero(flat):
+            n = int(flat[cell])
+            if held and held + n > part_rows:
+                slices.append(1)
+                held = 0
+            part[cell] = len(slices) - 1
+            slices[-1] = -(-n // part_rows) if n > part_rows else 1
+            held += n
+        return part.reshape(self.counts.shape), np.array(slices)
+
+    def visit(self, units: np.ndarray, min_entries: int) -> list[list[tuple[int, int]]]:
         """For each vector the cells it visits, nearest first (multi-sequence traversal)."""
         out = []
         first, second = self.split(units)
@@ -81,7 +98,7 @@ class MultiIndex:
         sorted1, sorted2 = np.take_along_axis(first, order1, 1), np.take_along_axis(second, order2, 1)
         for o1, o2, d1, d2 in zip(order1.tolist(), order2.tolist(), sorted1.tolist(), sorted2.tolist()):
             heap, pushed, cells, seen = [(d1[0] + d2[0], 0, 0)], {(0, 0)}, [], 0
-            while heap and seen < min_entries and len(cells) < max_cells:
+            while heap and seen < min_entries:
                 _, i, j = heapq.heappop(heap)
                 n = self.counts[o1[i], o2[j]]
                 if n:
@@ -102,12 +119,12 @@ def fit_index(vectors: DataFrame, width: int, total: int, sample_rows: int = SAM
     if not len(rows):  # an unlucky draw from few rows
         rows = vectors.select("vec").limit(sample_rows).toPandas()
     units = _unit(rows["vec"], width)
-    k = int(min(1024, max(1, round(math.sqrt(total / 48))), len(units)))
+    k = int(min(MAX_CENTROIDS, max(1, round(math.sqrt(total / 48))), len(units)))
     half = width // 2
     return MultiIndex(width, _kmeans(units[:, :half], k), _kmeans(units[:, half:], k))
 
 
-def _search(reps: DataFrame, width: int, k: int, floor: float, min_entries: int, max_cells: int, part_rows: int) -> DataFrame:
+def _search(reps: DataFrame, width: int, k: int, floor: float, min_entries: int, part_rows: int) -> DataFrame:
     """(query, entry, sim): for each representative its ``k`` nearest others with sim >= floor."""
     total = reps.count()
     schema = "query string, entry string, sim double"
@@ -123,34 +140,36 @@ def _search(reps: DataFrame, width: int, k: int, floor: float, min_entries: int,
 
     entries = cut_lineage(reps.mapInPandas(assign, "id string, vec binary, c1 int, c2 int"))
     # The counts fill a table of k x k cells, whose size the codebooks bound.
-    for r in entries.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).collect():
-        index.counts[r["c1"], r["c2"]] = r["n"]
-    parts = np.maximum(1, -(-index.counts.sum(1) // part_rows))
-    shared = reps.sparkSession.sparkContext.broadcast((index, parts))
+    counted = entries.groupBy("c1", "c2").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    index.counts[counted["c1"].to_numpy(), counted["c2"].to_numpy()] = counted["n"].to_numpy()
+    # Small collections are cut finer, so that every core has some partitions.
+    part_rows = min(part_rows, max(SMALLEST_PART, total // (3 * parallelism(reps.sparkSession))))
+    shared = reps.sparkSession.sparkContext.broadcast((index, *index.partitions(part_rows)))
 
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts = shared.value[1]
+        _, part_of, slices = shared.value
         for batch in batches:
-            own = parts[batch["c1"].to_numpy()]
+            part = part_of[batch["c1"].to_numpy(), batch["c2"].to_numpy()]
+            own = slices[part]
             salt = pd.util.hash_array(batch["id"].to_numpy(object)) % own.astype(np.uint64)
-            # An entry is in one slice of its partition, and once in every slice of the queries.
-            copies = batch.assign(s=salt.astype("int32")).loc[batch.index.repeat(own)]
+            # An entry is in one slice of its partition, and once in every slice of the queries; nearly all have one slice.
+            copies = batch.assign(part=part, s=salt.astype("int32"), cell=batch["c1"] * np.int32(len(index.counts)) + batch["c2"]).loc[batch.index.repeat(own)]
             copies["q"] = np.concatenate([np.arange(n) for n in own]).astype("int32") if len(own) else []
-            yield copies[["c1", "s", "q", "c2", "id", "vec"]]
+            yield copies[["part", "s", "q", "cell", "id", "vec"]]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, parts = shared.value
+        index, part_of, slices = shared.value
         for batch in batches:
             rows = []
             salts = pd.util.hash_array(batch["id"].to_numpy(object), hash_key="tidewatch_query_")
-            for name, vec, salt, cells in zip(batch["id"], batch["vec"], salts.tolist(), index.visit(_unit(batch["vec"], width), min_entries, max_cells)):
-                by_first: dict[int, list[int]] = {}
+            for name, vec, salt, cells in zip(batch["id"], batch["vec"], salts.tolist(), index.visit(_unit(batch["vec"], width), min_entries)):
+                by_part: dict[int, list[int]] = {}
                 for c1, c2 in cells:
-                    by_first.setdefault(c1, []).append(c2)
-                for c1, seconds in by_first.items():
-                    n = int(parts[c1])
-                    rows += [(c1, s, salt % n, name, vec, seconds) for s in range(n)]
-            yield pd.DataFrame(rows, columns=["c1", "s", "q", "query", "qvec", "cells"])
+                    by_part.setdefault(int(part_of[c1, c2]), []).append(c1 * len(index.counts) + c2)
+                for part, asked in by_part.items():
+                    n = int(slices[part])
+                    rows += [(part, s, salt % n, name, vec, asked) for s in range(n)]
+            yield pd.DataFrame(rows, columns=["part", "s", "q", "query", "qvec", "cells"])
 
     def rank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -160,7 +179,7 @@ def _search(reps: DataFrame, width: int, k: int, floor: float, min_entries: int,
             asker = np.repeat(np.arange(len(left)), [len(c) for c in left["cells"]])
             by_cell = np.argsort(asked, kind="stable")
             asked, asker = asked[by_cell], asker[by_cell]
-            held = right["c2"].to_numpy()
+            held = right["cell"].to_numpy()
             order = np.argsort(held, kind="stable")
             for cell in np.unique(held):
                 mine = order[slice(*np.searchsorted(held[order], [cell, cell + 1]))]
@@ -179,15 +198,15 @@ def _search(reps: DataFrame, width: int, k: int, floor: float, min_entries: int,
         out = out[out["query"] != out["entry"]].sort_values(["query", "sim", "entry"], ascending=[True, False, True])
         return out.groupby("query", sort=False).head(k)
 
-    slots = ["c1", "s", "q"]
-    placed = entries.mapInPandas(place, "c1 int, s int, q int, c2 int, id string, vec binary")
-    asking = entries.select("id", "vec").mapInPandas(ask, "c1 int, s int, q int, query string, qvec binary, cells array<int>")
+    slots = ["part", "s", "q"]
+    placed = entries.mapInPandas(place, "part int, s int, q int, cell int, id string, vec binary")
+    asking = entries.select("id", "vec").mapInPandas(ask, "part int, s int, q int, query string, qvec binary, cells array<int>")
     local = asking.groupBy(*slots).cogroup(placed.groupBy(*slots)).applyInPandas(rank, schema)
     best = Window.partitionBy("query").orderBy(F.desc("sim"), "entry")
     return local.withColumn("k", F.row_number().over(best)).where(F.col("k") <= k).drop("k")
 
 
-def similar_vectors(df: DataFrame, key: str, vector: str, width: int = 64, k: int = 5, floor: float = 0.9, min_entries: int = MIN_ENTRIES, max_cells: int = MAX_CELLS, part_rows: int = PART_ROWS) -> DataFrame:
+def similar_vectors(df: DataFrame, key: str, vector: str, width: int = 64, k: int = 5, floor: float = 0.9, min_entries: int = MIN_ENTRIES, part_rows: int = PART_ROWS) -> DataFrame:
     """(id, other, sim): for each vector its ``k`` most similar others with cosine >= floor.
 
     Vectors that are null, of another width, all zero or hold null, NaN or infinite values are left
@@ -200,7 +219,7 @@ def similar_vectors(df: DataFrame, key: str, vector: str, width: int = 64, k: in
     single = cut_lineage(usable.groupBy("id").agg(F.min("v").alias("v")).select("id", packed("v").alias("vec")))
     classes = single.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
     reps = cut_lineage(classes)
-    near = _search(reps.select("id", "vec"), width, k, floor, min_entries, max_cells, part_rows)
+    near = _search(reps.select("id", "vec"), width, k, floor, min_entries, part_rows)
     if reps.where("n > 1").isEmpty():
         return near.select(F.col("query").alias("id"), F.col("entry").alias("other"), "sim")
 
