@@ -6,8 +6,8 @@ over the names of the list. The score is the cosine of the n-gram vectors weight
 document frequency; a value is accepted if its best name scores above a threshold, ahead of the next name by a margin,
 and the edits between their words, each with the one it fits best, confirm it. Entries that share a name are told apart by the country.
 
-Only n-grams that matter are looked up: those of a value, rarest first, until what is left can't
-reach the threshold by itself (prefix filter), so no candidate above the threshold is lost.
+Only n-grams that matter are looked up and listed: those of a name, rarest first, until what is left of the two names can't
+reach the threshold (prefix filter on both sides), so no candidate above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, parallelism
 from .names_text import edits, fold, grams, split_joined
 
 THRESHOLD = 0.20
@@ -31,6 +31,8 @@ MOST_EDITS = 2
 SHORT = 5
 #: Countries that the list may name; more would make the parser's table unbounded.
 MAX_COUNTRIES = 1_000
+#: Pairs that one slice of a gram's list is joined to.
+SLICE = 1_000_000
 
 # Abbreviations of the qualifiers of place names.
 QUALIFIERS = {
@@ -148,12 +150,24 @@ def map_places(values: DataFrame, entries: DataFrame, threshold: float = THRESHO
     open_names = wanted.join(exact.select("name", "country"), (wanted["name"] == exact["name"]) & wanted["country"].eqNullSafe(exact["country"]), "left_anti")
     asked, _ = _weighted(open_names.select("name").distinct(), weights)
     rest = Window.partitionBy("name").orderBy(F.desc("w"), "gram").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    asked = cut_lineage(asked.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest))))
-    # Unit vectors: a name that shares only the grams of the tail scores at most the tail's length.
-    looked_up = asked.where(F.col("tail") >= threshold).select("name", "gram")
-    index = cut_lineage(vectors.select(F.col("name").alias("found"), "gram", F.col("w").alias("v")))
-    candidates = looked_up.join(index.select("found", "gram"), "gram").select("name", "found").distinct()
-    candidates = candidates.where(F.abs(F.length("name") - F.length("found")) <= MOST_EDITS)
+    with_tail = lambda df: df.withColumn("tail", F.sqrt(F.sum(F.col("w") * F.col("w")).over(rest)))
+    asked = cut_lineage(with_tail(asked))
+    index = cut_lineage(with_tail(vectors).select(F.col("name").alias("found"), "gram", F.col("w").alias("v"), F.col("tail").alias("rest")))
+    # Both sides have one order of grams, the rarest first. From the first common gram on, two names share at most the product of their
+    # tails; so grams of a small tail aren't looked up, nor listed, and no pair that reaches the threshold is lost.
+    probes = asked.where(F.col("tail") >= threshold).select("name", "gram", "tail")
+    lists = index.where(F.col("rest") >= threshold).select("found", "gram", "rest")
+    n = parallelism(values.sparkSession)
+    # The lists of a gram are cut into slices by what they meet, so that a common gram is no single task.
+    sizes = lists.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).join(probes.groupBy("gram").agg(F.count(F.lit(1)).alias("p")), "gram")
+    sizes = cut_lineage(sizes.select("gram", F.ceil(F.col("n").cast("double") * F.col("p") / SLICE).alias("slices")))
+    cut = probes.join(sizes, "gram").withColumn("slice", F.pmod(F.xxhash64("name"), F.col("slices")))
+    copies = lists.join(sizes, "gram").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1))).drop("slices")
+    near = (F.col("tail") * F.col("rest") >= threshold) & (F.abs(F.length("name") - F.length("found")) <= MOST_EDITS)
+    candidates = cut.join(copies, ["gram", "slice"]).where(near).select("name", "found").repartition(n, "name", "found").distinct()
+    # Words in any order have the same letters, and an edit changes two of the sorted letters at most: what differs in more can't be confirmed.
+    letters = lambda c: F.array_join(F.array_sort(F.split(c, "")), "")
+    candidates = candidates.where(F.levenshtein(letters(F.col("name")), letters(F.col("found")), 2 * MOST_EDITS) >= 0)
     named = listed.withColumnRenamed("name", "found")
     candidates = candidates.join(open_names, "name").join(named, "found").where(here)
     own = asked.groupBy("name").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("grams"))
