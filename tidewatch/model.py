@@ -52,29 +52,29 @@ QUAD_CLASS = {1: "verbal_cooperation", 2: "material_cooperation", 3: "verbal_con
 
 # Weighted terms of the lexical classifier.
 LEXICON = {
-    "armed_conflict": "airstrike 3; air strike 3; shelling 3; artillery 2.5; offensive 1.5; ceasefire 2; troops 1.5; military 1; combat 2; insurgent 2; militant 2; drone strike 3; missile 2.5; war 1.5",
-    "civil_unrest": "protest 3; demonstration 2.5; riot 3; strike action 2; unrest 2.5; clashes 2; crackdown 2; curfew 2; rally 1.5",
-    "terrorism": "terrorist 3; suicide bomb 3.5; car bomb 3; ied 2.5; hostage 2; claimed responsibility 2.5",
-    "seismic": "earthquake 3.5; magnitude 2.5; aftershock 3; tremor 2.5; epicenter 3; tsunami 3; volcan 2.5",
-    "severe_weather": "hurricane 3; typhoon 3; cyclone 3; tornado 3; flood 2.5; blizzard 2.5; heatwave 2.5; heat wave 2.5; drought 2; storm surge 3",
-    "wildfire": "wildfire 3.5; bushfire 3.5; forest fire 3; hectares burned 3; evacuation order 1.5",
-    "health": "outbreak 3; epidemic 3; pandemic 3; cholera 3; measles 3; ebola 3.5; infection 1.5; vaccine 1.5; quarantine 2",
-    "cyber": "ransomware 3.5; data breach 3; cyberattack 3.5; cyber attack 3.5; hacked 2.5; zero-day 3; ddos 3; malware 3",
-    "economy": "inflation 2.5; recession 3; central bank 2; interest rate 2.5; sanctions 2; tariff 2.5; default on debt 3; stock market 2",
-    "infrastructure": "power outage 3; blackout 3; pipeline 2; grid failure 3; bridge collapse 3; water supply 2; railway 1.5",
-    "maritime": "vessel 2; tanker 2.5; shipping lane 2.5; piracy 3; strait 1.5; port closure 2.5",
-    "aviation": "airspace 2.5; airport closed 3; flight diverted 2.5; plane crash 3.5; no-fly zone 3",
-    "humanitarian": "refugee 3; displaced 2.5; famine 3.5; humanitarian 2.5; aid convoy 3; malnutrition 3",
-    "space": "satellite launch 3; orbit 2; spacecraft 2.5; solar flare 3; geomagnetic storm 3",
-    "natural_disaster": "landslide 3; avalanche 3; sinkhole 2.5; disaster declaration 2.5",
-    "diplomacy": "summit 2; treaty 2.5; ambassador 2.5; negotiations 2; united nations 1.5",
-    "political": "election 2.5; parliament 2; impeachment 3; coup 3.5; referendum 2.5; resigned 2",
-}
+    "armed_conflict": {"airstrike": 3.0, "air strike": 3.0, "shelling": 3.0, "artillery": 2.5, "offensive": 1.5, "ceasefire": 2.0, "troops": 1.5, "military": 1.0, "combat": 2.0, "insurgent": 2.0, "militant": 2.0, "drone strike": 3.0, "missile": 2.5, "war": 1.5},
+    "civil_unrest": {"protest": 3.0, "demonstration": 2.5, "riot": 3.0, "strike action": 2.0, "unrest": 2.5, "clashes": 2.0, "crackdown": 2.0, "curfew": 2.0, "rally": 1.5},
+    "terrorism": {"terrorist": 3.0, "suicide bomb": 3.5, "car bomb": 3.0, "ied": 2.5, "hostage": 2.0, "claimed responsibility": 2.5},
+    "seismic": {"earthquake": 3.5, "magnitude": 2.5, "aftershock": 3.0, "tremor": 2.5, "epicenter": 3.0, "tsunami": 3.0, "volcan": 2.5},
+    "severe_weather": {"hurricane": 3.0, "typhoon": 3.0, "cyclone": 3.0, "tornado": 3.0, "flood": 2.5, "blizzard": 2.5, "heatwave": 2.5, "heat wave": 2.5, "drought": 2.0, "storm surge": 3.0},
+    "wildfire": {"wildfire": 3.5, "bushfire": 3.5, "forest fire": 3.0, "hectares burned": 3.0, "evacuation order": 1.5},
+    "health": {"outbreak": 3.0, "epidemic": 3.0, "pandemic": 3.0, "cholera": 3.0, "measles": 3.0, "ebola": 3.5, "infection": 1.5, "vaccine": 1.5, "quarantine": 2.0},
+    "cyber": {"ransomware": 3.5, "data breach": 3.0, "cyberattack": 3.5, "cyber attack": 3.5, "hacked": 2.5, "zero-day": 3.0, "ddos": 3.0, "malware": 3.0},
+    "economy": {"inflation": 2.5, "recession": 3.0, "central bank": 2.0, "interest rate": 2.5, "sanctions": 2.0, "tariff": 2.5, "default on debt": 3.0, "stock market": 2.0},
+    "infrastructure": {"power outage": 3.0, "blackout": 3.0, "pipeline": 2.0, "grid failure": 3.0, "bridge collapse": 3.0, "water supply": 2.0, "railway": 1.5},
+    "maritime": {"vessel": 2.0, "tanker": 2.5, "shipping lane": 2.5, "piracy": 3.0, "strait": 1.5, "port closure": 2.5},
+    "aviation": {"airspace": 2.5, "airport closed": 3.0, "flight diverted": 2.5, "plane crash": 3.5, "no-fly zone": 3.0},
+    "humanitarian": {"refugee": 3.0, "displaced": 2.5, "famine": 3.5, "humanitarian": 2.5, "aid convoy": 3.0, "malnutrition": 3.0},
+    "space": {"satellite launch": 3.0, "orbit": 2.0, "spacecraft": 2.5, "solar flare": 3.0, "geomagnetic storm": 3.0},
+    "natural_disaster": {"landslide": 3.0, "avalanche": 3.0, "sinkhole": 2.5, "disaster declaration": 2.5},
+    "diplomacy": {"summit": 2.0, "treaty": 2.5, "ambassador": 2.5, "negotiations": 2.0, "united nations": 1.5},
+    "political": {"election": 2.5, "parliament": 2.0, "impeachment": 3.0, "coup": 3.5, "referendum": 2.5, "resigned": 2.0},
+}
 
 
 def lexicon_rows() -> list[tuple[str, str, float]]:
     """(category, term, weight) of the lexicon."""
-    return [(category, entry.rsplit(" ", 1)[0].strip(), float(entry.rsplit(" ", 1)[1])) for category, text in LEXICON.items() for entry in text.split(";")]
+    return [(category, term, weight) for category, terms in LEXICON.items() for term, weight in terms.items()]
 
 
 def lookup(column: Column, table: dict, default=None) -> Column:

@@ -162,6 +162,8 @@ def natural_events(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
+# What an alert's event is about and its category; the first that fits counts.
+WEATHER_WORDS = [("fire|red flag", "wildfire"), ("tsunami|earthquake", "seismic"), ("volcan|avalanche|landslide", "natural_disaster"), ("air quality|smoke", "health")]
 _WEATHER = "features array<struct<id string, geometry struct<type string, coordinates string>, properties struct<id string, event string, headline string, description string, severity string, urgency string, certainty string, areaDesc string, senderName string, sent string, effective string, onset string>>>"
 
 
@@ -179,10 +181,9 @@ def weather_alerts(df: DataFrame, now: Column) -> DataFrame:
     p = lambda c: F.col(f"f.properties.{c}")
     event = F.coalesce(p("event"), F.lit("Weather alert"))
     sent = F.coalesce(p("sent").try_cast("timestamp"), now)
-    has = lambda *words: F.lower(event).rlike("|".join(words))
-    category = (
-        F.when(has("fire", "red flag"), "wildfire").when(has("tsunami", "earthquake"), "seismic").when(has("volcan", "avalanche", "landslide"), "natural_disaster").when(has("air quality", "smoke"), "health").otherwise("severe_weather")
-    )
+    category = F.lit("severe_weather")
+    for words, kind in reversed(WEATHER_WORDS):
+        category = F.when(F.lower(event).rlike(words), kind).otherwise(category)
     level = F.lower(p("severity"))
     magnitude = F.when(level == "minor", 1).when(level == "severe", 3).when(level == "extreme", 4).otherwise(2)
     return draft(
@@ -192,19 +193,22 @@ def weather_alerts(df: DataFrame, now: Column) -> DataFrame:
     )
 
 
+# Kinds of words and the category they stand for; the first kind that occurs counts.
+RELIEF_WORDS = [
+    ("cholera disease epidemic health measles outbreak pandemic", "health"),
+    ("conflict fighting hostilities violence war", "armed_conflict"),
+    ("cyclone flood hurricane storm typhoon", "severe_weather"),
+    ("earthquake landslide tsunami volcano", "natural_disaster"),
+]
 _RELIEF = "data array<struct<id string, fields struct<title string, body string, url_alias string, url string, date struct<original string, created string, changed string>, country array<struct<name string, iso3 string>>, disaster_type array<struct<name string>>, theme array<struct<name string>>, source array<struct<name string, shortname string>>>>>"
 
 
 def relief_category(words: Column) -> Column:
     """Category of a situation report by the first kind of word that occurs."""
-    t = F.lower(words)
-    return (
-        F.when(t.rlike(r"\b(cholera|disease|epidemic|health|measles|outbreak|pandemic)\b"), "health")
-        .when(t.rlike(r"\b(conflict|fighting|hostilities|violence|war)\b"), "armed_conflict")
-        .when(t.rlike(r"\b(cyclone|flood|hurricane|storm|typhoon)\b"), "severe_weather")
-        .when(t.rlike(r"\b(earthquake|landslide|tsunami|volcano)\b"), "natural_disaster")
-        .otherwise("humanitarian")
-    )
+    t, out = F.lower(words), F.lit("humanitarian")
+    for kind, category in reversed(RELIEF_WORDS):
+        out = F.when(t.rlike(rf"\b({'|'.join(kind.split())})\b"), category).otherwise(out)
+    return out
 
 
 def situation_reports(df: DataFrame) -> DataFrame:
@@ -222,17 +226,21 @@ def situation_reports(df: DataFrame) -> DataFrame:
     )
 
 
+# Where a space-weather message says its scale, its number and that it is withdrawn.
+K_INDEX, SCALE, SERIAL, WITHDRAWN = r"(?i)K-index of\s*([4-9])", r"(?i)\b[GRS]([1-5])\b", r"(?i)Serial Number:\s*(\d+)", r"(?i)\bCANCEL(?:LED)?\b"
+
+
 def space_weather(df: DataFrame) -> DataFrame:
     """Drafts of space-weather products; cancellations are dropped."""
     p = df.select(F.explode(F.from_json("payload", "array<struct<product_id string, issue_datetime string, message string>>")).alias("p"))
     stamp = F.when(F.col("p.issue_datetime").rlike(r"(?:Z|[+-]\d\d:?\d\d)$"), F.col("p.issue_datetime")).otherwise(F.concat(F.regexp_replace("p.issue_datetime", " ", "T"), F.lit("Z")))
-    p = p.withColumns({"message": text.clean_text(F.col("p.message")), "at": time.parse_date(stamp)}).where("message <> '' and at is not null").where(~F.col("message").rlike(r"(?i)\bCANCEL(?:LED)?\b"))
+    p = p.withColumns({"message": text.clean_text(F.col("p.message")), "at": time.parse_date(stamp)}).where("message <> '' and at is not null").where(~F.col("message").rlike(WITHDRAWN))
     lines = F.transform(F.split("p.message", r"\r?\n"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")))
     headline = F.get(F.filter(lines, lambda s: s.rlike(r"(?i)^(?:ALERT|SUMMARY|WARNING|WATCH):")), F.lit(0))
     digit = lambda pattern: F.regexp_extract("message", pattern, 1).try_cast("int")
-    k = digit(r"(?i)K-index of\s*([4-9])")
-    scale = F.coalesce(digit(r"(?i)\b[GRS]([1-5])\b"), F.when(k.isNotNull(), F.greatest(F.lit(1), k - 4)))
-    serial = F.coalesce(F.nullif(F.regexp_extract("message", r"(?i)Serial Number:\s*(\d+)", 1), F.lit("")), F.lit("none"))
+    k = digit(K_INDEX)
+    scale = F.coalesce(digit(SCALE), F.when(k.isNotNull(), F.greatest(F.lit(1), k - 4)))
+    serial = F.coalesce(F.nullif(F.regexp_extract("message", SERIAL, 1), F.lit("")), F.lit("none"))
     key = F.concat_ws(":", F.coalesce("p.product_id", F.lit("product")), F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), serial)
     return draft(
         p, source_id=F.lit("noaa.swpc"), external_id=key, title=F.coalesce(headline, F.trim(F.concat(F.lit("NOAA space weather product "), F.coalesce("p.product_id", F.lit(""))))), body=text.truncate(F.col("message"), 1800),
@@ -294,13 +302,19 @@ _ITEM = (
 
 def _items(df: DataFrame, item: str) -> DataFrame:
     """Items of RSS 2 channels, RDF documents and Atom feeds in one frame of column ``i``."""
-    kinds = [f"channel struct<item array<struct<{item}>>>", f"item array<struct<{item}>>", f"entry array<struct<{item}>>"]
-    options = {"mode": "PERMISSIVE"}
-    parts = []
-    for schema, path in zip(kinds, ("channel.item", "item", "entry")):
-        parsed = df.select(F.from_xml("payload", schema, options).alias("x"))
-        parts.append(parsed.select(F.explode(F.col(f"x.{path}")).alias("i")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    items = f"array<struct<{item}>>"
+    x = df.select(F.from_xml("payload", f"channel struct<item {items}>, item {items}, entry {items}", {"mode": "PERMISSIVE"}).alias("x"))
+    return x.select(F.explode(F.flatten(F.filter(F.array("x.channel.item", "x.item", "x.entry"), lambda a: a.isNotNull()))).alias("i"))
+
+
+def node_text(nodes: Column, at: int = 0) -> Column:
+    """Trimmed text of one of an array of nodes (struct with ``_VALUE``); null for none or blank."""
+    return F.nullif(F.trim(F.get(nodes, F.lit(at))["_VALUE"]), F.lit(""))
+
+
+def node_attribute(nodes: Column, name: str, at: int = 0) -> Column:
+    """An attribute of one of an array of nodes (struct with ``_name``)."""
+    return F.get(nodes, F.lit(at))[f"_{name}"]
 
 
 def feed_items(df: DataFrame) -> DataFrame:

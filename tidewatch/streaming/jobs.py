@@ -83,11 +83,11 @@ def running_baselines(volume: DataFrame, min_samples: int = 12, min_z: float = 3
     return rows.groupBy(*KEYS).applyInPandasWithState(fold, schema, "n bigint, mean double, m2 double, last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-#: Folders by key hash that the log and the states are cut into.
+#: Folders by key hash that the log and the states are cut into; a batch reads whole folders, so more of them for more keys.
 PARTS = 64
 
 
-def corrected_hours_sink(spark: SparkSession, log: str, target: str, lateness: Lateness = Lateness(), state: str | None = None):
+def corrected_hours_sink(spark: SparkSession, log: str, target: str, lateness: Lateness = Lateness(), state: str | None = None, parts: int = PARTS):
     """foreachBatch function: appends a batch to the log and replaces the corrected hours from each key's earliest touched block on.
 
     Log and states are cut by key hash and by block (``lateness.checkpoint_periods`` periods); at the end of every block the state of a
@@ -100,11 +100,11 @@ def corrected_hours_sink(spark: SparkSession, log: str, target: str, lateness: L
     saved = ", ".join(["category string, grid_cell string", *(f"{c} bigint" for c in STATE), "version bigint, part bigint, block bigint"])
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        placed = batch.dropna(subset=[*KEYS, "occurred_at"]).withColumns({"part": F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)), "block": F.floor(F.unix_micros("occurred_at") / step)})
-        placed.write.mode("overwrite").partitionBy("part", "block").parquet(f"{log}/batch={batch_id}")
+        placed = batch.dropna(subset=[*KEYS, "occurred_at"]).withColumns({"part": F.pmod(F.xxhash64(*KEYS), F.lit(parts)), "block": F.floor(F.unix_micros("occurred_at") / step)})
+        placed.repartition("part", "block").write.mode("overwrite").partitionBy("part", "block").parquet(f"{log}/batch={batch_id}")
         placed = spark.read.schema(placed.schema).option("basePath", f"{log}/batch={batch_id}").parquet(f"{log}/batch={batch_id}")
         touched = placed.groupBy("part", *KEYS).agg(F.min("block").alias("from_block"))
-        # One row a key hash, PARTS at most; they prune the folders that are read.
+        # One row a key hash, ``parts`` at most; they prune the folders that are read.
         firsts = {r["part"]: r["b"] for r in touched.groupBy("part").agg(F.min("from_block").alias("b")).collect()}
         if not firsts:
             return
@@ -118,10 +118,10 @@ def corrected_hours_sink(spark: SparkSession, log: str, target: str, lateness: L
         # Of a block the state of the last batch that wrote it counts, of a key that of its last block.
         restored = before.groupBy(*KEYS).agg(F.max_by(F.struct(*STATE), F.struct("block", "version")).alias("r")).select(*KEYS, *[F.col(f"r.{c}").alias(f"r_{c}") for c in STATE])
         hours = replay(counts.join(restored, KEYS, "left"), KEYS, "accepted", [f"r_{c}" for c in STATE])
-        hours = hours.withColumns({"part": F.pmod(F.xxhash64(*KEYS), F.lit(PARTS)), "block": F.floor(F.col("period") / step)})
-        hours.drop("block").write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={batch_id}")
+        hours = hours.withColumns({"part": F.pmod(F.xxhash64(*KEYS), F.lit(parts)), "block": F.floor(F.col("period") / step)})
+        hours.drop("block").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{target}/version={batch_id}")
         ends = hours.groupBy("part", "block", *KEYS).agg(F.max_by(F.struct(*STATE), "period").alias("s")).select(*KEYS, *[f"s.{c}" for c in STATE], "part", "block")
-        ends.write.mode("overwrite").partitionBy("part", "block").parquet(f"{state}/version={batch_id}")
+        ends.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{state}/version={batch_id}")
 
     return run
 
