@@ -11,6 +11,7 @@ from ..functions import geo, score, text
 from ..functions.time import hours_between
 from ..functions.vector import cosine
 from ..model import MATCH_COSINE, MATCH_FREE_H, MATCH_MAX_GAP_H, MATCH_OTHER_CATEGORY, MATCH_TIME_DECAY, MEMBER_WEIGHT, PRECISION_RADIUS_KM, lookup
+from ..session import cut_lineage
 
 _COARSE = ["country", "unknown"]
 #: Observations of a sequence after which the events that nothing can join are dropped.
@@ -218,9 +219,10 @@ def recompute(links: DataFrame, observations: DataFrame, now: Column, editorial:
     """One row per event from its members; ties fall to the earlier, then the smaller id.
 
     ``links``: event_id, observation_id; ``observations``: id and the columns of the model. The peak, the member of the highest
-    severity, is scored again as the event's: with the event's category, precision and number of sources.
+    severity, is scored again as the event's: with the event's category, precision and number of sources. Members are materialised once,
+    as several aggregates look at them.
     """
-    members = links.join(observations.withColumnRenamed("id", "observation_id"), "observation_id")
+    members = cut_lineage(links.join(observations.withColumnRenamed("id", "observation_id"), "observation_id"))
     weight = lookup(F.col("geo_precision"), MEMBER_WEIGHT, 0.5)
     located = F.col("lat").isNotNull() & F.col("lon").isNotNull()
     sums = geo.unit_sums(F.col("lat"), F.col("lon"), weight)
