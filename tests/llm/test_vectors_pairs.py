@@ -1,3 +1,4 @@
+import tracemalloc
 from collections import Counter
 from itertools import combinations
 
@@ -155,6 +156,38 @@ def test_tiles_are_the_gram_matrix(monkeypatch, dense):
     assert got == {(int(codes[i]), int(codes[j])): int(gram[i, j]) for i in range(len(codes)) for j in range(i + 1, len(codes)) if gram[i, j]}
 
 
+def test_memory_of_a_record_block_follows_its_entries():
+    """Baskets of few items out of very many: nothing is held or gone through by item block and basket."""
+    rng = np.random.default_rng(9)
+    items = rng.integers(0, 1_500, 90_000) * cooccurrence.BLOCK_CODES + rng.integers(1, 500, 90_000)
+    baskets = [np.unique(items[k : k + 3]) for k in range(0, len(items), 3)] + [items[:2], items[:2]]
+    tracemalloc.start()
+    got = Counter()
+    for a, b, n in cooccurrence.RecordBlock(np.concatenate(baskets), np.array([len(b) for b in baskets])).products():
+        got.update(dict(zip(zip(a.tolist(), b.tolist()), n.tolist())))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert peak < 150e6 and got == Counter(p for b in baskets for p in combinations(np.unique(b).tolist(), 2))
+
+
+@pytest.mark.parametrize("work", [0, 10**9])
+def test_tiles_or_baskets(monkeypatch, work):
+    """Either way gives the Gram matrix, in as many portions as the bounds ask for."""
+    monkeypatch.setattr(cooccurrence, "TILE_WORK", work)
+    monkeypatch.setattr(cooccurrence, "EXPAND", 40)
+    monkeypatch.setattr(cooccurrence, "DENSE", 0)
+    monkeypatch.setattr(cooccurrence, "CHUNK", 40)
+    rng = np.random.default_rng(10)
+    codes = np.array([block * cooccurrence.BLOCK_CODES + c for block in range(4) for c in range(1, 9)])
+    baskets = [rng.choice(codes, k, replace=False) for k in [1, *rng.integers(1, 16, 150), 32, 1]]
+    got = Counter()
+    portions = list(cooccurrence.RecordBlock(np.concatenate(baskets), np.array([len(b) for b in baskets], np.int32)).products())
+    for a, b, n in portions:
+        for pair in zip(a.tolist(), b.tolist(), n.tolist()):
+            got[pair[:2]] += pair[2]
+    assert got == Counter(p for b in baskets for p in combinations(sorted(b.tolist()), 2)) and all(n.sum() <= 40 for _, _, n in portions)
+
+
 def test_counts_beyond_the_product_of_bigints(spark):
     rows = [("a", "b", 5_000_000_000, 6_000_000_000, 7_000_000_000, 90_000_000_000), ("a", "c", 5_000_000_000, 6_000_000_000, 70_000_000_000, 90_000_000_000), ("a", "d", 4, 5, 5, 90_000_000_000)]
     df = spark.createDataFrame(rows, "item_a string, item_b string, together bigint, n_a bigint, n_b bigint, n_baskets bigint")

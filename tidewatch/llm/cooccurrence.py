@@ -3,7 +3,8 @@
 Baskets are rows of a binary sparse matrix X whose columns are the items; the counts of all pairs are
 X'X. Every task cuts its records into record blocks, holds each as compressed sparse rows that are split into item
 blocks X_I, and sums the transpose-products X_I'X_J tile by tile; a tile that is well filled is multiplied as a dense
-matrix, any other row by row. Spark adds the tiles of all record blocks and normalises the counts by
+matrix, any other row by row. Where the items are so many that tiles would be all but empty, a record block is multiplied
+basket by basket without tiles. What a task holds follows the entries of its record block, not the number of items. Spark adds the tiles of all record blocks and normalises the counts by
 the marginals. A basket that is too wide for one row is cut into item blocks beforehand and its products are spread over tasks.
 Items that can't reach the thresholds (bounds that follow from the marginals alone) are removed first, which loses no pair.
 """
@@ -30,6 +31,8 @@ WIDE = 2048
 RECORD_BLOCK, CHUNK = 1_000_000, 4_000_000
 #: A tile is multiplied as dense matrices if row by row it has more than 1/DENSE as many products.
 DENSE = 64
+#: A record block is multiplied tile by tile if a tile has at least so many products on average; else basket by basket, so many pairs at a time.
+TILE_WORK, EXPAND = 1024, 500_000
 
 
 class RecordBlock:
@@ -39,57 +42,87 @@ class RecordBlock:
         """``codes`` of all baskets one after the other, and the ``sizes`` of the baskets."""
         self.n = len(sizes)
         rows = np.repeat(np.arange(self.n), sizes)
+        blocks = len(np.unique(codes // BLOCK_CODES))
+        self.tiled = int((sizes.astype(np.int64) * (sizes - 1) // 2).sum()) >= TILE_WORK * (blocks * (blocks + 1) // 2)
+        if not self.tiled:
+            order = np.lexsort((codes, rows))
+            #: Every entry's code, and the number of entries after it in its basket.
+            self.codes, self.after = codes[order], np.repeat(np.cumsum(sizes), sizes) - np.arange(len(codes)) - 1
+            return
         order = np.argsort(codes // BLOCK_CODES * self.n + rows, kind="stable")
         codes, rows = codes[order], rows[order]
-        blocks, starts = np.unique(codes // BLOCK_CODES, return_index=True)
-        #: By item block: the row pointer, the row of every entry, the columns that occur, and every entry's place among them.
+        starts = np.unique(codes // BLOCK_CODES, return_index=True)[1]
+        #: By item block: the rows that occur, where each begins, the row of every entry, the columns that occur, and every entry's place among them.
         self.parts = []
         for lo, hi in zip(starts, [*starts[1:], len(codes)]):
             columns, local = np.unique(codes[lo:hi], return_inverse=True)
-            self.parts.append((np.searchsorted(rows[lo:hi], np.arange(self.n + 1)), rows[lo:hi], columns, local))
+            present, pointer = np.unique(rows[lo:hi], return_index=True)
+            self.parts.append((present, np.append(pointer, hi - lo), rows[lo:hi], columns, local))
 
     def products(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(a, b, count) of every tile of the upper triangle of X'X, a < b."""
+        """(a, b, count) of the upper triangle of X'X, a < b; a pair may come several times."""
+        if not self.tiled:
+            yield from self._by_baskets()
+            return
         for i, left in enumerate(self.parts):
             for j in range(i, len(self.parts)):
                 yield from self._tile(left, self.parts[j], i == j)
 
+    def _by_baskets(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        names, local = np.unique(self.codes, return_inverse=True)
+        for lo, hi in _chunks(self.after, EXPAND):
+            n = self.after[lo:hi]
+            key = np.repeat(local[lo:hi] * len(names), n) + local[np.repeat(np.arange(lo, hi) + 1, n) + _within(n)]
+            keys, counts = np.unique(key, return_counts=True)
+            yield names[keys // len(names)], names[keys % len(names)], counts
+
     def _tile(self, left, right, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        pointer, _, names, second = right
-        _, rows, mine, first = left
-        partners = pointer[rows + 1] - pointer[rows]
+        present, pointer, _, names, second = right
+        _, _, rows, mine, first = left
+        at = np.minimum(np.searchsorted(present, rows), len(present) - 1)
+        begin, partners = pointer[at], np.where(present[at] == rows, pointer[at + 1] - pointer[at], 0)
         total = int(partners.sum())
         if not total:
             return
         shape = (len(mine), len(names))
         cells = shape[0] * shape[1]
+
+        def named(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            a, b = mine[keys // shape[1]], names[keys % shape[1]]
+            keep = a < b if same else slice(None)
+            return a[keep], b[keep], counts[keep]
+
         if total * DENSE > self.n * cells and self.n * max(shape) <= CHUNK:
             x, y = np.zeros((self.n, shape[0]), np.float32), np.zeros((self.n, shape[1]), np.float32)
-            x[rows, first], y[right[1], second] = 1, 1
+            x[rows, first], y[right[2], second] = 1, 1
             tile = (x.T @ y).ravel()
             keys = np.flatnonzero(tile)
-            counts = tile[keys].astype(np.int64)
-        else:
-            found = []
-            ends = np.cumsum(partners)
-            at = 0
-            while at < len(rows):
-                # As many entries as CHUNK products allow, one at least.
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CHUNK, "right")))
-                n = partners[at:to]
-                offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                key = np.repeat(first[at:to].astype(np.int64) * shape[1], n) + second[np.repeat(pointer[rows[at:to]], n) + offset]
-                if cells <= 4 * len(key):
-                    tile = np.bincount(key, minlength=cells)
-                    k = np.flatnonzero(tile)
-                    found.append((k, tile[k]))
-                else:
-                    found.append(np.unique(key, return_counts=True))
-                at = to
-            keys, counts = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
-        a, b = mine[keys // shape[1]], names[keys % shape[1]]
-        keep = a < b if same else slice(None)
-        yield a[keep], b[keep], counts[keep]
+            yield named(keys, tile[keys].astype(np.int64))
+            return
+        for lo, hi in _chunks(partners, CHUNK):
+            n = partners[lo:hi]
+            key = np.repeat(first[lo:hi].astype(np.int64) * shape[1], n) + second[np.repeat(begin[lo:hi], n) + _within(n)]
+            if cells <= 4 * len(key):
+                tile = np.bincount(key, minlength=cells)
+                keys = np.flatnonzero(tile)
+                yield named(keys, tile[keys])
+            else:
+                yield named(*np.unique(key, return_counts=True))
+
+
+def _chunks(products: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries that have ``most`` products together, or are a single entry."""
+    ends = np.cumsum(products)
+    lo = 0
+    while lo < len(products):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
+
+
+def _within(n: np.ndarray) -> np.ndarray:
+    """0, 1, ... n - 1 for each of ``n``, one after the other."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
