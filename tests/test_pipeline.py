@@ -1,6 +1,7 @@
 import math
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -275,3 +276,57 @@ def test_detail_and_names(spark):
     names = spark.createDataFrame([("press.a",), ("quake.b.c",), (None,)], "s string").select(reads.source_short_name(F.col("s"), {"quake.b": "Quakes"}).alias("n"), reads.is_uuid(F.lit("123e4567-e89b-12d3-a456-426614174000")).alias("u")).collect()
     assert [r["n"] for r in names] == ["Press", "Quakes", None] and names[0]["u"]
     assert reads.wire_rows(spark.createDataFrame([(T0,)], "t timestamp")).first()["json"] == '{"t":"2025-03-01T00:00:00.000Z"}'
+
+
+def nearest_by_hand(rows, floor, hours):
+    """{subject: (event, cosine)} of (id, vector, first, last)."""
+    best = {}
+    for s, x, t, _ in rows:
+        for e, y, _, u in rows:
+            if e == s or t is None or u is None or abs(t - u).total_seconds() > hours * 3600:
+                continue
+            dot, xx, yy = (sum(p * q for p, q in zip(a, b)) for a, b in ((x, y), (x, x), (y, y)))
+            sim = min(1.0, dot / (xx * yy) ** 0.5) if math.isfinite(xx * yy) else math.nan
+            key = math.inf if math.isnan(sim) else sim
+            if key >= floor and (s not in best or (-key, e) < (-best[s][1], best[s][0])):
+                best[s] = (e, key)
+    return best
+
+
+@pytest.mark.parametrize("tile", [(8, 16), (1_000, 1_000)])
+def test_nearest_in_time_against_brute_force(spark, monkeypatch, tile):
+    """Tiles, blocks and portions of any size: equal vectors, multiples of a vector, one time for many, no time, infinite numbers."""
+    monkeypatch.setattr(events, "TILE_ROWS", tile)
+    if tile[0] == 8:
+        monkeypatch.setattr(events, "BLOCK_ROWS", (5, 3))
+        monkeypatch.setattr(events, "CONFIRMED", 2)
+    rng = np.random.default_rng(5)
+    start = datetime(2025, 3, 1)
+    centres = rng.normal(size=(12, 8))
+    rows = []
+    for i in range(180):
+        t = start + timedelta(hours=float(rng.integers(0, 400)))
+        v = centres[i % 12] * float(rng.integers(1, 4)) + (0.25 * rng.normal(size=8) if i % 3 else 0)
+        rows.append((f"e{i}", [float(np.float32(x)) for x in v], t, t + timedelta(hours=float(rng.integers(0, 60)))))
+    rows += [(f"same{i}", rows[i % 4][1], start + timedelta(hours=100), start + timedelta(hours=100)) for i in range(40)]
+    rows += [("late", rows[0][1], start, None), ("early", rows[0][1], None, start), ("far", [1.0] * 8, start + timedelta(days=90), start + timedelta(days=90))]
+    rows += [("edge", [1.0] * 8, start + timedelta(days=93), start + timedelta(days=93)), ("over", [1.0] * 8, start + timedelta(days=96, microseconds=1), start + timedelta(days=96, microseconds=1))]
+    rows += [("inf", [math.inf] + [1.0] * 7, start + timedelta(hours=30), start + timedelta(hours=30))]
+    df = spark.createDataFrame([*rows, ("hole", [None] + [1.0] * 7, start, start)], "id string, centroid array<float>, first_seen_at timestamp, last_seen_at timestamp")
+    got = {r["subject_id"]: (r["event_id"], math.inf if math.isnan(r["similarity"]) else r["similarity"]) for r in events.nearest_in_time(df, 0.8, 72).collect()}
+    want = nearest_by_hand(rows, 0.8, 72)
+    assert got.keys() == want.keys() and len(want) > 200
+    assert all(got[k][0] == want[k][0] and (got[k][1] == want[k][1] or abs(got[k][1] - want[k][1]) < 1e-12) for k in want)
+    assert events.nearest_in_time(df.limit(0), 0.8, 72).count() == 0
+
+
+def test_best_static_match_makes_no_rows_of_pairs(spark, tmp_path, rows):
+    """Ties fall to the smaller id, also if it begins the other and for multiples of a vector; no join, so pairs are never rows."""
+    at = datetime(2025, 3, 5)
+    v, w = [float(np.float32(0.1 * (i % 7) + 0.01 * i + 0.05)) for i in range(64)], [(-1.0) ** i for i in range(64)]
+    data = [("s", v), ("e", v), ("e1", v), ("e10", [3 * x for x in v]), ("e2", [0.7 * x for x in v]), ("u", w)]
+    schema = "id string, centroid array<float>, first_seen_at timestamp, last_seen_at timestamp"
+    spark.createDataFrame([(i, c, at, at + timedelta(hours=5)) for i, c in data], schema).write.parquet(f"{tmp_path}/event_clusters.parquet")
+    found = catalogue.QUERIES["best_static_match"](spark, str(tmp_path))
+    assert {r[0]: r[1] for r in rows(found)} == {"s": "e", "e": "e1", "e1": "e", "e10": "e", "e2": "e"}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()

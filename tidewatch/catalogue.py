@@ -543,12 +543,8 @@ SELECT s AS subject_id, e AS event_id, round(sim, 6) AS similarity FROM (SELECT
 def best_static_match(spark, d):
     """Nearest other event in time and meaning at cosine 0.8 and more; places, categories and time decay are left out (see best_event_match)."""
     usable = _events(spark, d).where((F.size("centroid") == 64) & ~F.exists("centroid", lambda x: F.isnan(x)) & F.exists("centroid", lambda x: x != 0))
-    s = usable.select(F.col("id").alias("s"), F.col("centroid").alias("a"), F.col("first_seen_at").alias("t"), F.floor(F.unix_seconds("first_seen_at") / 86_400).alias("day"))
-    e = usable.select(F.col("id").alias("e"), F.col("centroid").alias("b"), F.col("last_seen_at").alias("u"), F.floor(F.unix_seconds("last_seen_at") / 86_400).alias("at"))
-    near = s.join(e.withColumn("day", F.explode(F.sequence(F.col("at") - 3, F.col("at") + 3))), "day").where((time.hours_between(F.col("t"), F.col("u")) <= 72) & (F.col("s") != F.col("e")))
-    scored = near.withColumn("sim", vector.cosine(F.col("a"), F.col("b"))).where("sim >= 0.8")
-    best = scored.groupBy("s").agg(F.max_by(F.struct("e", "sim"), F.struct(F.col("sim"), F.transform(F.split("e", ""), lambda c: -F.ascii(c)))).alias("m"))
-    return best.select(F.col("s").alias("subject_id"), F.col("m.e").alias("event_id"), F.round("m.sim", 6).alias("similarity"))
+    best = events.nearest_in_time(usable, 0.8, 72)
+    return best.select("subject_id", "event_id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

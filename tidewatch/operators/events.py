@@ -4,6 +4,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +17,10 @@ from ..session import cut_lineage
 _COARSE = ["country", "unknown"]
 #: Observations of a sequence after which the events that nothing can join are dropped.
 FORGET_EVERY = 1_000
+#: Subjects of a tile at least and at most, and rows of either side that are multiplied at a time.
+TILE_ROWS, BLOCK_ROWS = (8_192, 262_144), (1_024, 2_048)
+#: More than a product of unit vectors in single precision is wrong by; pairs that are confirmed at a time.
+ROUNDING, CONFIRMED = 1e-5, 65_536
 
 
 def time_factor(gap_h: Column) -> Column:
@@ -87,6 +92,131 @@ def match_candidates(subjects: DataFrame, events: DataFrame, threshold: float =
     return both.withColumn("k", F.row_number().over(best)).where("k = 1").select(F.col("s_id").alias("subject_id"), F.col("e_id").alias("event_id"), "similarity", "adjusted")
 
 
+class _Side:
+    """Rows of one side in order of time: ids, times, vectors as they are and as unit vectors (``odd`` ones, which aren't finite, as zeros), squared lengths."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(batches).combine_chunks()
+        self.ids = table["id"].to_numpy()
+        self.at = table["at"].to_numpy()
+        self.v = np.concatenate([c.flatten().to_numpy() for c in table["v"].chunks]).reshape(len(self.at), -1)
+        self.squares = _dots(self.v, self.v)
+        self.odd = ~(np.isfinite(self.squares) & (self.squares > 0))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            self.units = (self.v / np.sqrt(self.squares)[:, None]).astype(np.float32)
+        self.units[self.odd] = 0
+
+
+def _dots(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products of rows, added from left to right in double precision, as SQL does."""
+    total = np.zeros(len(x))
+    with np.errstate(invalid="ignore", over="ignore"):
+        for k in range(x.shape[1]):
+            total += x[:, k].astype(float) * y[:, k]
+    return total
+
+
+class NearestEvents:
+    """The most similar event so far of every subject of a tile; NaN counts as more than any number, as in SQL."""
+
+    def __init__(self, subjects: list[pa.RecordBatch], floor: float, reach: int):
+        self.s, self.floor, self.reach = _Side(subjects), floor, reach
+        self.best = np.full(len(self.s.at), -np.inf)
+        self.found = np.full(len(self.s.at), None, object)
+
+    def meet(self, batch: pa.RecordBatch) -> None:
+        """Compares all subjects with events in order of time."""
+        e = _Side([batch])
+        rank = np.empty(len(e.ids), int)
+        rank[np.argsort(e.ids)] = np.arange(len(e.ids))
+        for c in range(0, len(e.at), BLOCK_ROWS[1]):
+            to = min(c + BLOCK_ROWS[1], len(e.at))
+            within = np.searchsorted(self.s.at, e.at[c] - self.reach), np.searchsorted(self.s.at, e.at[to - 1] + self.reach, "right")
+            for r in range(within[0], within[1], BLOCK_ROWS[0]):
+                end = min(r + BLOCK_ROWS[0], within[1])
+                sims = self.s.units[r:end] @ e.units[c:to].T
+                # 2 for what may be NaN: it is looked at in any case.
+                sims[self.s.odd[r:end]] = 2
+                sims[:, e.odd[c:to]] = 2
+                least = np.clip(self.best[r:end], self.floor, 1) - ROUNDING
+                some = np.flatnonzero(sims.max(1) >= least)
+                if len(some):
+                    i, j = np.nonzero(sims[some] >= least[some, None])
+                    i, j = some[i] + r, j + c
+                    near = np.abs(self.s.at[i] - e.at[j]) <= self.reach
+                    i, j = i[near], j[near]
+                    for k in range(0, len(i), CONFIRMED):
+                        self._confirm(e, rank, i[k : k + CONFIRMED], j[k : k + CONFIRMED])
+
+    def _confirm(self, e: _Side, rank: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        other = self.s.ids[i] != e.ids[j]
+        i, j = i[other], j[other]
+        with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+            sims = np.clip(_dots(self.s.v[i], e.v[j]) / np.sqrt(self.s.squares[i] * e.squares[j]), -1, 1)
+        sims[np.isnan(sims)] = np.inf
+        order = np.lexsort((rank[j], -sims, i))
+        order = order[sims[order] >= self.floor]
+        order = order[np.append(True, np.diff(i[order]) > 0)[: len(order)]]
+        i, j, sims = i[order], j[order], sims[order]
+        better = sims > self.best[i]
+        same = np.flatnonzero(sims == self.best[i])
+        better[same] = e.ids[j[same]] < self.found[i[same]]
+        self.best[i[better]], self.found[i[better]] = sims[better], e.ids[j[better]]
+
+    def rows(self) -> pa.RecordBatch:
+        """subject_id, event_id, similarity of the subjects that have an event."""
+        has = np.flatnonzero(self.best > -np.inf)
+        sims = np.where(np.isinf(self.best[has]), np.nan, self.best[has])
+        return pa.RecordBatch.from_arrays([pa.array(self.s.ids[has], pa.string()), pa.array(self.found[has], pa.string()), pa.array(sims)], ["subject_id", "event_id", "similarity"])
+
+
+def nearest_in_time(events: DataFrame, floor: float, hours: int) -> DataFrame:
+    """The most similar other event of every event: subject_id, event_id and similarity, a cosine of ``floor`` and more; ties fall to the smaller id.
+
+    ``events``: id (unique string), centroid (all of one width, not zero), first_seen_at, last_seen_at. A candidate was last seen at most
+    ``hours`` before or after the subject was first seen. All such pairs are compared, as products of matrices, and the
+    best are confirmed in double precision; no pair is ever a row. Subjects are cut by time into tiles that a task holds, and the
+    events within reach of a tile stream through it, so memory follows the tile, and work the pairs within reach.
+    """
+    spark = events.sparkSession
+    reach = hours * 3_600_000_000
+    rows = events.where(~F.exists("centroid", lambda x: x.isNull())).select("id", F.col("centroid").alias("v"), F.unix_micros("first_seen_at").alias("t"), F.unix_micros("last_seen_at").alias("u"))
+    fine = 1_024
+    n, quantiles = rows.agg(F.count("t"), F.percentile_approx("t", [k / fine for k in range(1, fine)], 10_000)).first()
+    size = min(max(n // (2 * spark.sparkContext.defaultParallelism), TILE_ROWS[0]), TILE_ROWS[1])
+    tiles = min(max(1, -(-n // size)), fine)
+    bounds = F.array(*[F.lit(quantiles[k * fine // tiles - 1]).cast("bigint") for k in range(1, tiles)]).cast("array<bigint>")
+    below = lambda t: F.size(F.filter(bounds, lambda b: b < t))
+    upto = lambda t: F.size(F.filter(bounds, lambda b: b <= t))
+    place = lambda tile, side, at: F.struct(tile.cast("int").alias("tile"), F.lit(side).alias("side"), at.alias("at"))
+    # Subjects of one time that is several bounds are spread over the tiles between them.
+    own = below(F.col("t")) + F.pmod(F.xxhash64("id"), upto(F.col("t")) - below(F.col("t")) + 1)
+    met = F.transform(F.sequence(below(F.col("u") - reach), upto(F.col("u") + reach)), lambda k: place(k, 1, F.col("u")))
+    places = F.concat(F.when(F.col("t").isNull(), F.array()).otherwise(F.array(place(own, 0, F.col("t")))), F.when(F.col("u").isNull(), F.array()).otherwise(met))
+    placed = rows.select("id", "v", F.inline(places)).repartitionById(tiles, "tile").sortWithinPartitions("tile", "side", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, subjects, nearest = None, [], None
+        for batch in batches:
+            tile, side = batch.column("tile").to_numpy(), batch.column("side").to_numpy()
+            cuts = np.flatnonzero(np.diff(tile) | np.diff(side)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(tile)]):
+                part = batch.slice(lo, hi - lo)
+                if tile[lo] != at:
+                    if nearest:
+                        yield nearest.rows()
+                    at, subjects, nearest = tile[lo], [], None
+                if side[lo] == 0:
+                    subjects.append(part)
+                elif subjects:
+                    nearest = nearest or NearestEvents(subjects, floor, reach)
+                    nearest.meet(part)
+        if nearest:
+            yield nearest.rows()
+
+    return placed.mapInArrow(run, "subject_id string, event_id string, similarity double")
+
+
 def _haversine(a: np.ndarray, o: np.ndarray, lat: float, lon: float) -> np.ndarray:
     p1, p2 = np.radians(a), np.radians(lat)
     h = np.sin((p2 - p1) / 2) ** 2 + np.cos(p1) * np.cos(p2) * np.sin(np.radians(lon - o) / 2) ** 2
